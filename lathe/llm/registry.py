@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .near_dedup import op7_near_dedup
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op6_quality_rules
 from .substring_dedup import op10_substring_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op8_token_files": op8_token_files,
 }
 ORACLES: dict[str, str] = {}

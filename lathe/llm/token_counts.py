@@ -98,7 +98,7 @@ class TokenCounter:
                 extra.append(0)
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        new = list(set().union(*lists) - self.known.keys())
+        new = [w for w in set().union(*lists) if w not in self.known]
         if new:
             counts = _merger(self.vocabulary).counts([w.encode("utf-8", "surrogateescape") for w in new])
             self.known.update(zip(new, counts.tolist(), strict=True))

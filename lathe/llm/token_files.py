@@ -47,7 +47,7 @@ class Encoder:
         lists = [[] if o else pretokens.PIECE.findall(t) for o, t in zip(odd, texts, strict=True)]
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        new = list(set().union(*lists) - self.known.keys())
+        new = [w for w in set().union(*lists) if w not in self.known]
         self.known.update(zip(new, self._whole(new), strict=True))
         whole = iter(self._whole([t for o, t in zip(odd, texts, strict=True) if o]))
         ids = self.known.__getitem__
