@@ -20,7 +20,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from functools import lru_cache
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +90,7 @@ def _label(near: np.ndarray) -> np.ndarray:
     return label
 
 
-def _overlaps(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+def _overlaps(sets: list[np.ndarray], columns: int = 1 << 12) -> np.ndarray:
     """Sizes of all intersections, over the values that two sets share, a block of columns at a time."""
     n = len(sets)
     if n == 2:
@@ -202,10 +202,15 @@ def _in_blocks(rows: DataFrame, key: str, blocks: str, *carried: str) -> DataFra
 
 
 class NearDedup:
-    """words: shingle length; num / den: the least similarity of a link; k: sketch size; listed: values in lists."""
+    """words: shingle length; num / den: the least similarity of a link; k: sketch size.
 
-    def __init__(self, words: int = 5, num: int = 80, den: int = 100, k: int = 64, listed: int = 12, block: int = 512, id_col: str = "doc_id", text_col: str = "text"):
-        self.words, self.num, self.den, self.k, self.listed, self.block = words, num, den, k, listed, block
+    risk: of a link's two sets sharing no listed value; it sets how many values of a sketch are listed.
+    list_block, block: rows of a list and of a family that are compared at once, in pairs of blocks.
+    """
+
+    def __init__(self, words: int = 5, num: int = 80, den: int = 100, k: int = 64, risk: float = 1e-6, list_block: int = 1024, block: int = 512, id_col: str = "doc_id", text_col: str = "text"):
+        self.words, self.num, self.den, self.k, self.list_block, self.block = words, num, den, k, list_block, block
+        self.listed = max(1, ceil(log(risk) / log(1 - num / den)))
         self.id_col, self.text_col = id_col, text_col
 
     def _sketches(self):
@@ -259,7 +264,7 @@ class NearDedup:
 
         listed = classes.select("id", "sketch").mapInArrow(self._least(), "value long, id long")
         lengths = listed.groupBy("value").agg(F.count("*").alias("length")).filter("length > 1")
-        entries = listed.join(lengths, "value").withColumn("blocks", F.ceil(F.col("length") / F.lit(self.block)))
+        entries = listed.join(lengths, "value").withColumn("blocks", F.ceil(F.col("length") / F.lit(self.list_block)))
         entries = scratch.save(entries.select("value", "id", "blocks"), "entries")
         entries = entries.join(classes.select("id", F.col("n").alias("size"), F.col("sketch").alias("values")), "id")
         likely = _in_blocks(entries, "value", "blocks", "size", "values").mapInArrow(_groups(_estimated, self.k, self.num, self.den), EDGES)
