@@ -15,7 +15,7 @@ an empty result. Other columns, whatever their names, pass through untouched.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,14 +91,15 @@ def fit_model(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col
     rows = rows.join(F.broadcast(labels), "id")
 
     def run(batches):
-        for pdf in batches:
-            x = [features((t or "").encode("utf-8", "replace")) for t in pdf["text"]]
-            yield pd.DataFrame({"x": x, "y": pdf["y"].to_numpy()})
+        for batch in batches:
+            x = [features(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    got = rows.select("text", "y").mapInPandas(run, "x array<double>, y double").toPandas()
-    if got["y"].nunique() < 2:
+    got = rows.select("text", "y").mapInArrow(run, "x array<double>, y double").collect()
+    y = np.array([r["y"] for r in got])
+    if len(set(y.tolist())) < 2:
         return None
-    return LogisticModel.fit(np.array(got["x"].tolist()), got["y"].to_numpy())
+    return LogisticModel.fit(np.array([r["x"] for r in got]), y)
 
 
 def evidence(model: LogisticModel | None, text: Column) -> Column:
@@ -107,12 +108,12 @@ def evidence(model: LogisticModel | None, text: Column) -> Column:
         return F.lit(0.0)
     base = float(np.log(model.rate / (1 - model.rate)))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         if not len(texts):
-            return pd.Series([], dtype=float)
-        x = np.array([features((t or "").encode("utf-8", "replace")) for t in texts])
-        return pd.Series(model.logit(x) - base)
+            return pa.array([], pa.float64())
+        x = np.array([features(t or b"") for t in texts.cast(pa.binary()).to_pylist()])
+        return pa.array(model.logit(x) - base)
 
     return score(text.cast("string"))
 
@@ -143,6 +144,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
     partial sum for each task and site. Site tables are joined, and sent to all only where Spark
     knows they are small.
     """
+    scratch = Scratch(docs.sparkSession, "sites")
     model = fit_model(docs, labels, label, id_col, text_col, most)
     rate = model.rate if model else 0.5
     prior = F.lit(float(np.log(rate / (1 - rate))))
@@ -152,7 +154,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
     scored = named.withColumn("q_doc", 1 / (1 + F.exp(-(F.col("q_evidence") + prior))))
     p = F.col("q_doc")
     sites = scored.groupBy("q_host_key", "q_path_key").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q"))
-    sites = Scratch(docs.sparkSession, "sites").save(sites, "sites")
+    sites = scratch.save(sites, "sites")
     whole = sites.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     total = F.lit(float(whole["s"] / whole["n"]) if whole["n"] else 0.5)
     hosts = sites.groupBy("q_host_key").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q"))).withColumn("above", total)

@@ -24,6 +24,12 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that a Python worker holds little whatever the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 class Scratch:
     """A folder of intermediate Parquet tables in the shared root.
 
@@ -32,6 +38,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, tag: str):
+        small_batches(spark)
         self.spark = spark
         self.base = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import pretokens
-from .scratch import spans, table
+from .scratch import small_batches, spans, table
 
 NEVER = np.int32(2**31 - 1)
 CACHE_ENTRIES = 300_000
@@ -112,6 +112,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     vocabulary: a byte-level BPE file, by path or by the name of a public vocabulary file.
     Narrow: no shuffle, nothing kept but a bounded cache of pre-token counts in each worker.
     """
+    small_batches(docs.sparkSession)
     ids = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
