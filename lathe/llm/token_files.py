@@ -15,43 +15,57 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
 from .scratch import Scratch, spans, table, width
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 CHUNK_BYTES = 4 << 20
 SEQUENCES = 64
 
 
+class _Pieces(dict):
+    """Ids of pre-tokens as bytes, filled by the library's model as they are asked for."""
+
+    def __init__(self, vocabulary: str, dtype: np.dtype):
+        self.model, self.kind = pretokens.library(vocabulary).model, "H" if dtype.itemsize == 2 else "I"
+        self.letter = pretokens.byte_letters().__getitem__
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.model.tokenize("".join(map(self.letter, piece.encode())))
+        self[piece] = ids = array(self.kind, [t.id for t in found]).tobytes()
+        return ids
+
+
 class Encoder:
     """Ids as the tokenizers library gives them; each distinct pre-token is encoded once."""
 
     def __init__(self, vocabulary: str, dtype: np.dtype):
-        self.vocabulary, self.dtype, self.known = vocabulary, dtype, {}
+        self.vocabulary, self.dtype = vocabulary, dtype
+        self.known = _Pieces(vocabulary, dtype)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        coded = pretokens.library(self.vocabulary).encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in coded]
+    def _whole(self, text: str) -> bytes:
+        coded = pretokens.library(self.vocabulary).encode(text, add_special_tokens=False)
+        return np.array(coded.ids, self.dtype).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         marks, _ = pretokens.specials(self.vocabulary)
-        odd = [bool(pretokens.UNSAFE.search(t) or (marks is not None and marks.search(t))) for t in texts]
-        lists = [[] if o else pretokens.PIECE.findall(t) for o, t in zip(odd, texts, strict=True)]
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        new = [w for w in set().union(*lists) if w not in self.known]
-        self.known.update(zip(new, self._whole(new), strict=True))
-        whole = iter(self._whole([t for o, t in zip(odd, texts, strict=True) if o]))
-        ids = self.known.__getitem__
-        return [next(whole) if o else b"".join(map(ids, words)) for o, words in zip(odd, lists, strict=True)]
+        ids, out = self.known.__getitem__, []
+        for text in texts:
+            if pretokens.UNSAFE.search(text) or (marks is not None and marks.search(text)):
+                out.append(self._whole(text))
+            else:
+                out.append(b"".join(map(ids, pretokens.PIECE.findall(text))))
+        return out
 
 
 @cache
