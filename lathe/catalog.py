@@ -371,10 +371,10 @@ def _(s, d):
     return _points(s, d).select("row_id", F.transform(vectors.unit(F.col("v")), lambda x: F.round(x, 6)).alias("v"))
 
 
-@query("concat_blocks", f"WITH {EMB} SELECT row_id, list_concat(list_transform(v, lambda x: round(x, 9)), list_transform(v, lambda x: round(x * 0.5, 9))) AS v FROM e")
+@query("concat_blocks", f"WITH {EMB} SELECT row_id, list_concat(v, list_transform(v, lambda x: x * 0.5)) AS v FROM e")
 def _(s, d):
     p = _points(s, d)
-    return vectors.concat_blocks((p, 1.0), (p, 0.5)).select("row_id", F.transform("v", lambda x: F.round(x, 9)).alias("v"))
+    return vectors.concat_blocks((p, 1.0), (p, 0.5))
 
 
 @query("knn_cosine", f"WITH {EMB}, {_knn_sql(12)} SELECT src, dst, rank, round(dist, 6) AS dist FROM knn")
@@ -662,8 +662,8 @@ def _(s, d):
     """WITH x AS (SELECT doc_id AS row_id, doc_id % 10 AS label, CASE WHEN lang = 'fr' AND doc_id % 10 < 5 THEN 1 WHEN lang = 'de' THEN 2 ELSE 0 END AS script FROM documents),
     sh AS (SELECT script FROM x WHERE script > 0 GROUP BY script HAVING count(*) BETWEEN 0.05 * (SELECT count(*) FROM x) AND 0.4 * (SELECT count(*) FROM x)),
     n AS (SELECT label, count(*) AS n FROM x GROUP BY label),
-    pure AS (SELECT x.label, x.script FROM x JOIN n ON x.label = n.label JOIN sh ON x.script = sh.script GROUP BY x.label, x.script, n.n HAVING n.n >= 3 AND count(*) >= 0.12 * n.n),
-    t AS (SELECT label, min(label) OVER (PARTITION BY script) AS target FROM pure QUALIFY row_number() OVER (PARTITION BY label ORDER BY script) = 1)
+    pure AS (SELECT label, min(script) AS script FROM (SELECT x.label, x.script FROM x JOIN n ON x.label = n.label JOIN sh ON x.script = sh.script GROUP BY x.label, x.script, n.n HAVING n.n >= 3 AND count(*) >= 0.12 * n.n) GROUP BY label),
+    t AS (SELECT label, min(label) OVER (PARTITION BY script) AS target FROM pure)
     SELECT row_id, coalesce(target, x.label) AS label FROM x LEFT JOIN t ON x.label = t.label""",
 )
 def _(s, d):

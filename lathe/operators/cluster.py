@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import settled
 from .vectors import knn, modularity
 
 #: Rows that average linkage and density clustering hold at once; larger batches are sampled first.
@@ -33,7 +34,7 @@ def k_and_noise(rel: float) -> tuple[int, float]:
 
 def kmeans(points: DataFrame, k: int, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
     """(row_id, label) of the run of least cost."""
-    data = points.select("row_id", array_to_vector("v").alias("features")).cache()
+    data = settled(points).select("row_id", array_to_vector("v").alias("features"))
     runs = [KMeans(k=k, seed=s, maxIter=30).fit(data) for s in seeds]
     best = min(runs, key=lambda m: m.summary.trainingCost)
     return best.transform(data).select("row_id", F.col("prediction").cast("long").alias("label"))
@@ -231,6 +232,6 @@ def best_cut(points: DataFrame, edges: DataFrame, candidates: tuple[int, ...] =
     """Average linkage at the number of clusters of the highest modularity; the lesser number wins ties."""
     n = points.count()
     tried = [k for k in candidates if k < n] or sorted({max(2, n // d) for d in (25, 10, 4)})
-    runs = [(k, linkage_labels(points, k).cache()) for k in tried]
+    runs = [(k, settled(linkage_labels(points, k))) for k in tried]
     scores = [(round(modularity(edges, labels).first()[0] or 0.0, 12), -k, labels) for k, labels in runs]
     return max(scores, key=lambda s: s[:2])[2]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..sources import settled
 from .vectors import dot, mean_vectors, unit
 
 NOISE = -1
@@ -68,7 +69,7 @@ def merge_mutual(points: DataFrame, labels: DataFrame, similarity: float = 0.85,
         best = pair.groupBy("a").agg(F.max(F.struct("sim", (-F.col("b")).alias("neg"))).alias("x")).select("a", (-F.col("x.neg")).alias("b"), F.col("x.sim").alias("sim"))
         back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
         merged = best.join(back, ["a", "b"]).filter((F.col("sim") >= similarity) & (F.col("a") > F.col("b"))).select(F.col("a").alias("label"), F.col("b").alias("to"))
-        labels = labels.join(merged, "label", "left").select("row_id", F.coalesce("to", "label").alias("label"))
+        labels = settled(labels.join(merged, "label", "left").select("row_id", F.coalesce("to", "label").alias("label")))
     return labels
 
 
@@ -85,7 +86,8 @@ def merge_most_similar(weights: DataFrame, labels: DataFrame, similarity: float
 
 def _ranked(scores: DataFrame, order: list[Column]) -> DataFrame:
     """A global rank without one task that sorts all: places in the partitions of a range sort, plus offsets."""
-    rows = scores.orderBy(*order).withColumn("mark", F.monotonically_increasing_id()).cache()
+    rows = scores.orderBy(*order).withColumn("mark", F.monotonically_increasing_id())
+    rows = settled(rows)
     part = F.shiftright("mark", 33)
     counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
@@ -137,6 +139,8 @@ def merge_scripts(labels: DataFrame, scripts: DataFrame, low: float = 0.05, high
     share = rows.filter("script > 0").groupBy("script").agg(F.count("*").alias("k")).crossJoin(F.broadcast(total)).filter((F.col("k") >= low * F.col("total")) & (F.col("k") <= high * F.col("total")))
     per = rows.groupBy("label", "script").agg(F.count("*").alias("k")).join(sizes(labels), "label").filter(F.col("label") != NOISE)
     pure = per.filter((F.col("n") >= least) & (F.col("k") >= purity * F.col("n"))).join(share.select("script"), "script", "left_semi")
+    # a cluster that is mostly of two classes goes with the lower one
+    pure = pure.groupBy("label").agg(F.min("script").alias("script"))
     to = pure.select("label", F.min("label").over(Window.partitionBy("script")).alias("to"))
     return labels.join(to, "label", "left").select("row_id", F.coalesce("to", "label").alias("label"))
 

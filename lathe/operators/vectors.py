@@ -33,11 +33,11 @@ def knn(points: DataFrame, k: int, metric: str = "cosine", queries: DataFrame |
     same = queries is points
     sides = [max(1, -(-x.count() // BLOCK)) for x in (queries, points)]
     cut = lambda df, n: df.withColumn("own", F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int"))
-    q = cut(queries, sides[0]).select(F.col("own").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(sides[1] - 1))).alias("pb"), "row_id", "v")
-    p = cut(points, sides[1]).select(F.explode(F.sequence(F.lit(0), F.lit(sides[0] - 1))).alias("qb"), F.col("own").alias("pb"), "row_id", "v")
+    q = cut(queries, sides[0]).select(F.col("own").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(sides[1] - 1))).alias("pb"), F.col("row_id").alias("id"), F.col("v").alias("v"))
+    p = cut(points, sides[1]).select(F.explode(F.sequence(F.lit(0), F.lit(sides[0] - 1))).alias("qb"), F.col("own").alias("pb"), F.col("row_id").alias("id"), F.col("v").alias("v"))
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
-        qi, pi = (t.column("row_id").to_numpy() for t in (left, right))
+        qi, pi = (t.column("id").to_numpy() for t in (left, right))
         out = {"src": [], "dst": [], "dist": []}
         if len(qi) and len(pi):
             a, b = (np.array(t.column("v").to_pylist(), float) for t in (left, right))
@@ -134,11 +134,15 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return whole.crossJoin(degrees).select((F.col("inside") / F.col("m2") - 0.25 * F.col("d2") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
+def _scaled(factor: float) -> Column:
+    return F.transform("v", lambda x: x * factor)
+
+
 def concat_blocks(*blocks: tuple[DataFrame, float]) -> DataFrame:
     """Vectors of several tables end to end, each scaled."""
     out = None
     for i, (df, factor) in enumerate(blocks):
-        part = df.select("row_id", F.transform("v", lambda x, f=factor: x * f).alias(f"b{i}"))
+        part = df.select("row_id", _scaled(factor).alias(f"b{i}"))
         out = part if out is None else out.join(part, "row_id")
     return out.select("row_id", F.concat(*(F.col(f"b{i}") for i in range(len(blocks)))).alias("v"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import cluster, labels, terms, vectors
-from ..sources import NOISE, reject_empty
+from ..sources import NOISE, reject_empty, settled
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ def profile(batch: DataFrame) -> DataFrame:
 
 def _split(batch: DataFrame, clean: Column) -> tuple[DataFrame, int, int]:
     """Texts that are not empty after cleaning, how many all are, and how many these are."""
-    full = batch.select("row_id", clean.alias("text")).filter(F.length("text") > 0)
+    full = settled(batch.select("row_id", clean.alias("text")).filter(F.length("text") > 0))
     return full, reject_empty(batch).count(), full.count()
 
 
@@ -91,9 +91,9 @@ def tiny(batch: DataFrame, n: int, filled: int, least: int) -> DataFrame | None:
 
 
 def tfidf_features(full: DataFrame, n: int, top: int, min_df: int, max_df: float, sublinear: bool) -> DataFrame:
-    counts = terms.term_counts(full, fn.with_bigrams(fn.analyzer_tokens(F.col("text")))).cache()
+    counts = settled(terms.term_counts(full, fn.with_bigrams(fn.analyzer_tokens(F.col("text")))))
     vocabulary = terms.top_vocabulary(terms.prune(terms.document_frequency(counts), n, min_df, max_df), top)
-    return terms.tfidf(counts, vocabulary, n, sublinear).cache()
+    return settled(terms.tfidf(counts, vocabulary, n, sublinear))
 
 
 def preset_a(batch: DataFrame, rank: int = 50) -> DataFrame:
@@ -111,20 +111,20 @@ def preset_a(batch: DataFrame, rank: int = 50) -> DataFrame:
 def _ppmi_points(full: DataFrame, n: int, top: int, dim: int, width: int, drop: int) -> DataFrame:
     """Documents as idf-weighted sums of their words' vectors from windowed co-occurrence."""
     words = fn.analyzer_tokens(F.col("text"))
-    counts = terms.term_counts(full, words).cache()
-    vocabulary = terms.top_vocabulary(terms.prune(terms.document_frequency(counts), n, 2, 0.5), top).cache()
+    counts = settled(terms.term_counts(full, words))
+    vocabulary = settled(terms.top_vocabulary(terms.prune(terms.document_frequency(counts), n, 2, 0.5), top))
     pairs = terms.window_cooccurrence(full, words, width)
     pairs = pairs.join(vocabulary.select(F.col("term").alias("t1")), "t1", "left_semi").join(vocabulary.select(F.col("term").alias("t2")), "t2", "left_semi")
-    weights = terms.ppmi(pairs).select(F.col("t1").alias("row_id"), F.col("t2").alias("term"), "w")
+    weights = settled(terms.ppmi(pairs).select(F.col("t1").alias("row_id"), F.col("t2").alias("term"), "w"))
     word_vectors = vectors.truncated_svd(weights, dim).withColumnRenamed("row_id", "term")
     idf = F.log(F.lit(float(n)) / (1 + F.col("df")))
-    points = vectors.pooled(counts.join(vocabulary.select("term", "df"), "term"), word_vectors, idf * F.col("n"))
+    points = settled(vectors.pooled(counts.join(vocabulary.select("term", "df"), "term"), word_vectors, idf * F.col("n")))
     return vectors.remove_top_components(points, drop)
 
 
 def _aligned(full: DataFrame, dim: int, points: DataFrame) -> DataFrame:
     """A vector for every row: zeros, slightly moved, where the features found nothing."""
-    zero = F.array(*[F.lit(0.0)] * dim)
+    zero, points = F.array(*[F.lit(0.0)] * dim), settled(points)
     rows = full.select("row_id").join(points, "row_id", "left")
     return vectors.jitter_empty(rows.select("row_id", F.coalesce("v", zero).alias("v"))).select("row_id", vectors.unit(F.col("v")).alias("v"))
 
@@ -133,8 +133,8 @@ def _large(full: DataFrame, batch: DataFrame, filled: int, clusters: int, noise:
     """Hashed features, k-means, and the rows farthest from their centres as singletons."""
     counts = terms.term_counts(full, fn.with_bigrams(fn.analyzer_tokens(F.col("text"))))
     points = vectors.random_projection(terms.log_damped(terms.hashed_counts(counts, 32_768)), 64)
-    points = _aligned(full, 64, points).cache()
-    found = cluster.kmeans(points, min(clusters, cluster.k_for_large(filled)), (42,))
+    points = settled(_aligned(full, 64, points))
+    found = settled(cluster.kmeans(points, min(clusters, cluster.k_for_large(filled)), (42,)))
     own = points.join(found, "row_id").join(labels.centroids(points, found), "label")
     score = own.select("row_id", (1 - vectors.dot(F.col("v"), F.col("c"))).alias("score"))
     return labels.expand(batch, labels.densify(labels.outliers_to_singletons(found, score, noise)))
@@ -160,20 +160,20 @@ def preset_b(batch: DataFrame, large: int = 15_000, lsa: int = 64, ppmi: int = 3
         (_aligned(full, ppmi, _ppmi_points(full, filled, 2000, ppmi, 6, 1 if p["is_titles"] else 3 if mid else 2)), 1.0),
         (_aligned(full, 48, vectors.random_projection(weights, 48)), 0.5),
     )
-    points = blocks.select("row_id", vectors.unit(F.col("v")).alias("v")).cache()
-    edges = vectors.knn(points, 12).cache()
-    points = vectors.smooth(points, edges, 0.2, 1).cache()
-    edges = vectors.knn(points, 12).cache()
+    points = settled(blocks.select("row_id", vectors.unit(F.col("v")).alias("v")))
+    edges = settled(vectors.knn(points, 12))
+    points = settled(vectors.smooth(points, edges, 0.2, 1))
+    edges = settled(vectors.knn(points, 12))
     k, noise = (100, 0.3) if p["is_titles"] else (28, 0.25) if mid else cluster.k_and_noise(vectors.contrast(points, edges).first()["rel"] or 0.0)
-    found = cluster.linkage_labels(points, min(k, max(2, filled // 2))).cache()
-    scripts = full.select("row_id", fn.script_id(F.col("text")).alias("script")).cache()
-    found = labels.merge_scripts(found, scripts)
+    found = settled(cluster.linkage_labels(points, min(k, max(2, filled // 2))))
+    scripts = settled(full.select("row_id", fn.script_id(F.col("text")).alias("script")))
+    found = settled(labels.merge_scripts(found, scripts))
     score = vectors.kth_distance(edges).join(scripts, "row_id").select("row_id", F.when(F.col("script") > 0, -1.0).otherwise(F.col("score")).alias("score"))
-    found = labels.outliers_to_singletons(found, score, noise).cache()
+    found = settled(labels.outliers_to_singletons(found, score, noise))
     if not p["is_titles"] and not mid:
-        found = labels.reassign_small(points, found).cache()
-        found = labels.merge_mutual(points, found, 0.8, 1, 1).cache()
-        found = labels.merge_mutual(points, found, 0.86, 5, 2)
+        found = settled(labels.reassign_small(points, found))
+        found = settled(labels.merge_mutual(points, found, 0.8, 1, 1))
+        found = settled(labels.merge_mutual(points, found, 0.86, 5, 2))
     return labels.expand(batch, labels.densify(found))
 
 
@@ -196,19 +196,19 @@ def preset_c(batch: DataFrame, settings: Settings = Settings(), lsa: int | None
         (_aligned(full, dims[1], _ppmi_points(lowered, filled, s.ppmi_features, dims[1], 10, 1)), s.w_ppmi),
         (_aligned(full, 48, vectors.random_projection(weights, 48)), s.w_distilled),
     )
-    points = blocks.select("row_id", vectors.unit(F.col("v")).alias("v")).cache()
+    points = settled(blocks.select("row_id", vectors.unit(F.col("v")).alias("v")))
     if clock.allows(0.5):
-        points = vectors.smooth(points, vectors.knn(points, s.smooth_k), s.smooth_alpha, 1).cache()
-    edges = vectors.knn(points, 15).cache()
-    found = cluster.hdbscan_labels(points, s.min_cluster_size, s.min_samples).cache()
+        points = settled(vectors.smooth(points, vectors.knn(points, s.smooth_k), s.smooth_alpha, 1))
+    edges = settled(vectors.knn(points, 15))
+    found = settled(cluster.hdbscan_labels(points, s.min_cluster_size, s.min_samples))
     if found.filter(F.col("label") != NOISE).count() < 0.2 * filled:
-        found = cluster.best_cut(points, vectors.symmetric(edges), s.k_candidates).cache()
+        found = settled(cluster.best_cut(points, vectors.symmetric(edges), s.k_candidates))
     if s.merge_scripts:
-        found = labels.merge_scripts(found, full.select("row_id", fn.script_id(F.col("text")).alias("script")), 0.02, 0.45)
-    found = labels.small_clusters(points, found, s.min_cluster_size, s.small_cluster_mode).cache()
+        found = settled(labels.merge_scripts(found, full.select("row_id", fn.script_id(F.col("text")).alias("script")), 0.02, 0.45))
+    found = settled(labels.small_clusters(points, found, s.min_cluster_size, s.small_cluster_mode))
     if s.merge_mutual and clock.allows(0.9):
-        found = labels.merge_mutual(points, found, 0.85, 60, 3).cache()
-    found = labels.noise_policy(points, found, labels.combined_score(points, found, vectors.kth_distance(edges)), s.noise_mode, s.noise_bucket).cache()
+        found = settled(labels.merge_mutual(points, found, 0.85, 60, 3))
+    found = settled(labels.noise_policy(points, found, labels.combined_score(points, found, vectors.kth_distance(edges)), s.noise_mode, s.noise_bucket))
     if s.vote_duplicates:
-        found = labels.vote(found, full.select("row_id", fn.prefix_key(F.col("text")).alias("key")))
+        found = settled(labels.vote(found, full.select("row_id", fn.prefix_key(F.col("text")).alias("key"))))
     return labels.expand(batch, labels.densify(found))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +41,19 @@ def aligned_labels(labels: DataFrame, label: str | Column = "cluster_id") -> Dat
 def health(spark: SparkSession) -> DataFrame:
     """One row if the session can run a job."""
     return spark.range(1).select(F.lit("healthy").alias("status"))
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="lathe-")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: no lineage behind it, and safe when executors are lost."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{(root or _own_folder()).rstrip('/')}/settled-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
