@@ -150,7 +150,7 @@ def _send(doc: np.ndarray, ids: np.ndarray, place: np.ndarray, gram: np.ndarray,
     fresh = np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]))
     first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     settled = (ids[doc] >> shift) > (ids[doc[first]] >> shift)
-    bucket = (gram % np.uint64(buckets)).astype(np.int64)
+    bucket = ((gram >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((place, doc, bucket))
     doc, place, gram, context, settled, bucket = (x[order] for x in (doc, place, gram, context, settled, bucket))
     cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), bucket.size)
