@@ -198,7 +198,6 @@ def partners(pages: DataFrame, scratch: Scratch) -> DataFrame:
         at += r["n"]
     starts = pages.sparkSession.createDataFrame(rows, "part long, start long")
     placed = order.withColumn("part", part).join(F.broadcast(starts), "part").select("key", "host", "path", (F.col("start") + F.col("mark") - F.shiftleft("part", bits)).alias("g"))
-    placed = scratch.save(placed, "placed")
     a = placed.select("g", "key", "host", F.split("path", "/").alias("segments"))
     b = a.select((F.col("g") + 1).alias("g"), F.col("key").alias("before"), F.col("host").alias("host_b"), F.col("segments").alias("segments_b"))
     pair = a.join(b, "g").filter("host = host_b")
