@@ -335,8 +335,8 @@ one AS (SELECT a.t AS t1, b.t AS t2 FROM p a JOIN p b ON a.row_id = b.row_id AND
 cooc AS (SELECT t1, t2, count(*) AS n FROM (SELECT t1, t2 FROM one UNION ALL SELECT t2, t1 FROM one) GROUP BY ALL)"""
 
 
-def _cooc(s, d):
-    return terms.window_cooccurrence(_docs(s, d), fn.analyzer_tokens(fn.clean_joined(F.col("text"))))
+def _cooc(s, d, among: DataFrame | None = None):
+    return terms.window_cooccurrence(_docs(s, d), fn.analyzer_tokens(fn.clean_joined(F.col("text"))), among=among)
 
 
 @query("cooc_window", f"WITH {COOC} SELECT t1, t2, n FROM cooc")
@@ -450,8 +450,7 @@ def _(s, d):
 
 def _word_vectors(s, d, dim: int = 16):
     top = terms.top_vocabulary(_vocabulary(s, d), 1000).select("term").cache()
-    pairs = _cooc(s, d).join(top.withColumnRenamed("term", "t1"), "t1", "left_semi").join(top.withColumnRenamed("term", "t2"), "t2", "left_semi")
-    w = terms.ppmi(pairs).select(F.col("t1").alias("row_id"), F.col("t2").alias("term"), "w")
+    w = terms.ppmi(_cooc(s, d, top)).select(F.col("t1").alias("row_id"), F.col("t2").alias("term"), "w")
     return vectors.truncated_svd(w, dim).withColumnRenamed("row_id", "term")
 
 

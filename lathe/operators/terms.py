@@ -77,14 +77,25 @@ def feature_union(*blocks: tuple[str, DataFrame, float]) -> DataFrame:
     return out
 
 
-def window_cooccurrence(batch: DataFrame, words: Column, width: int = 6) -> DataFrame:
-    """(t1, t2, n) over pairs at most `width` apart, both ways. Pairs are made inside a row, not by a self-join."""
+def window_cooccurrence(batch: DataFrame, words: Column, width: int = 6, among: DataFrame | None = None) -> DataFrame:
+    """(t1, t2, n) over pairs at most `width` apart, both ways.
+
+    Pairs are made inside a row, not by a self-join, and counted once in alphabetical order, so that one
+    shuffle serves both directions. among: (term), a vocabulary that the caller has limited; pairs with
+    other terms are dropped before they are counted.
+    """
     rows = batch.select("row_id", words.alias("words")).filter(F.size("words") > 1)
     at = F.sequence(F.lit(0), F.size("words") - 2)
     pairs = F.flatten(F.transform(at, lambda i: F.transform(F.slice("words", i + 2, F.lit(width)), lambda b: F.struct(F.get("words", i).alias("t1"), b.alias("t2")))))
-    one = rows.select(F.inline(pairs)).groupBy("t1", "t2").agg(F.count("*").alias("n"))
-    both = one.unionByName(one.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "n"))
-    return both.groupBy("t1", "t2").agg(F.sum("n").alias("n"))
+    one = rows.select(F.inline(pairs))
+    if among is not None:
+        for side in ("t1", "t2"):
+            one = one.join(F.broadcast(among.select(F.col("term").alias(side))), side, "left_semi")
+    one = one.select(F.least("t1", "t2").alias("a"), F.greatest("t1", "t2").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    both = F.array(F.struct(F.col("a").alias("t1"), F.col("b").alias("t2")), F.struct(F.col("b").alias("t1"), F.col("a").alias("t2")))
+    same = F.array(F.struct(F.col("a").alias("t1"), F.col("b").alias("t2")))
+    n = F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n"))
+    return one.select(F.inline(F.when(F.col("a") == F.col("b"), same).otherwise(both)), n.alias("n")).select("t1", "t2", "n")
 
 
 def document_cooccurrence(counts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lathe import catalog, plans, sources, streaming
 from lathe import functions as fn
-from lathe.operators import cluster, evaluate, labels, vectors
+from lathe.operators import cluster, evaluate, labels, terms, vectors
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark conversations".split()
@@ -90,6 +90,16 @@ def test_svd_keeps_inner_products(spark):
     assert np.allclose(v @ v.T, a @ a.T, atol=1e-6)
 
 
+def test_window_cooccurrence_counts_both_ways(spark):
+    batch = spark.createDataFrame([(1, "a b a a"), (2, "c"), (3, "b c"), (4, None)], "row_id long, text string")
+    words = F.split("text", " ")
+    got = {(r.t1, r.t2): r.n for r in terms.window_cooccurrence(batch, words, 2).collect()}
+    assert got == {("a", "b"): 3, ("b", "a"): 3, ("a", "a"): 4, ("b", "c"): 1, ("c", "b"): 1}
+    among = spark.createDataFrame([("a",), ("b",)], "term string")
+    got = {(r.t1, r.t2): r.n for r in terms.window_cooccurrence(batch, words, 2, among).collect()}
+    assert got == {("a", "b"): 3, ("b", "a"): 3, ("a", "a"): 4}
+
+
 def test_labels_of_empty_rows_are_noise(spark):
     batch = spark.range(4).withColumnRenamed("id", "row_id")
     got = labels.expand(batch, spark.createDataFrame([(1, 5), (2, 7)], "row_id long, label long"))
