@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lathe.llm import decontaminate, html_text, line_dedup, mixing, near_dedup, pretokens, quality_classifier, quality_rules, registry, substring_dedup, token_counts, token_files
+from lathe.llm import components, decontaminate, html_text, line_dedup, mixing, near_dedup, pretokens, quality_classifier, quality_rules, registry, substring_dedup, token_counts, token_files
 from lathe.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -173,6 +173,27 @@ def test_near_copies_in_blocks(spark):
     assert got == linked(rows, 3, 85, 100)
 
 
+def test_components_of_long_chains(spark):
+    """A low label at one end must take over a long chain that another low label holds already."""
+    n = 300
+    edges = [(i, i + 1) for i in range(1, n)] + [(0, n)]
+    order = random.Random(5).sample(range(1000, 1000 + n), n)
+    edges += list(zip(order, order[1:]))
+    got = dict(components.connected(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "chains"), "chain").collect())
+    assert got == {**dict.fromkeys(range(n + 1), 0), **dict.fromkeys(order, 1000)}
+
+
+def test_drifting_chain_in_small_blocks(spark):
+    """Texts of a moving window: neighbours in the chain are linked, its ends share nothing."""
+    n = 500
+    ids = [0, *range(n - 1, 0, -1)]
+    rows = [(i, " ".join(f"w{j}" for j in range(4 * at, 4 * at + 60))) for at, i in enumerate(ids)]
+    random.Random(6).shuffle(rows)
+    op = near_dedup.NearDedup(3, 85, 100, list_block=16, block=16)
+    got = op.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]
+
+
 def cut(rows, n=50):
     first, out = {}, {}
     for i, t in sorted(rows):
