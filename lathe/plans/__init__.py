@@ -129,6 +129,28 @@ def _aligned(full: DataFrame, dim: int, points: DataFrame) -> DataFrame:
     return vectors.jitter_empty(rows.select("row_id", F.coalesce("v", zero).alias("v"))).select("row_id", vectors.unit(F.col("v")).alias("v"))
 
 
+def _spectral(points: DataFrame, n: int, dim: int, k: int) -> DataFrame | None:
+    """Unit rows of the spectral embedding of the neighbour graph; none for small batches."""
+    if n < 50 or dim < 2:
+        return None
+    found = vectors.spectral(vectors.symmetric(settled(vectors.knn(points, k))), min(dim, n - 2))
+    return settled(found.select("row_id", vectors.unit(F.col("v")).alias("v")))
+
+
+def reduced(points: DataFrame, n: int, mode: str, dim: int, k: int) -> DataFrame:
+    """`spectral`, which falls back to `svd` where it can't be had; any other mode leaves points as they are."""
+    if mode == "spectral":
+        if (found := _spectral(points, n, dim, k)) is not None:
+            return found
+        mode = "svd"
+    row = points.select(F.size("v").alias("width")).first()
+    dim = min(dim, row["width"] - 1, n - 1) if row else 0
+    if mode != "svd" or dim < 2:
+        return points
+    cells = points.select("row_id", F.posexplode("v").alias("term", "w"))
+    return settled(vectors.truncated_svd(cells, dim).select("row_id", vectors.unit(F.col("v")).alias("v")))
+
+
 def _large(full: DataFrame, batch: DataFrame, filled: int, clusters: int, noise: float) -> DataFrame:
     """Hashed features, k-means, and the rows farthest from their centres as singletons."""
     counts = terms.term_counts(full, fn.with_bigrams(fn.analyzer_tokens(F.col("text"))))
@@ -155,14 +177,22 @@ def preset_b(batch: DataFrame, large: int = 15_000, lsa: int = 64, ppmi: int = 3
     weights = tfidf_features(full, filled, 100_000, 2 if filled >= 50 else 1, 0.5, True)
     if weights.isEmpty():
         return batch.select("row_id", F.lit(0).cast("long").alias("label"))
+    lsa_points = settled(_aligned(full, lsa, vectors.truncated_svd(weights, lsa)))
     blocks = vectors.concat_blocks(
-        (_aligned(full, lsa, vectors.truncated_svd(weights, lsa)), 0.94),
+        (lsa_points, 0.94),
         (_aligned(full, ppmi, _ppmi_points(full, filled, 2000, ppmi, 6, 1 if p["is_titles"] else 3 if mid else 2)), 1.0),
         (_aligned(full, 48, vectors.random_projection(weights, 48)), 0.5),
     )
     points = settled(blocks.select("row_id", vectors.unit(F.col("v")).alias("v")))
     edges = settled(vectors.knn(points, 12))
     points = settled(vectors.smooth(points, edges, 0.2, 1))
+    if not p["is_titles"]:
+        share = vectors.explained_variance(lsa_points)
+        wide, narrow = (36, 16) if mid else (28, 12)
+        more = _spectral(points, filled, wide if share > 0.045 else narrow if share < 0.03 else 32, 15)
+        if more is not None:
+            both = vectors.concat_blocks((points, 1.0), (more, 1.0))
+            points = settled(both.select("row_id", vectors.unit(F.col("v")).alias("v")))
     edges = settled(vectors.knn(points, 12))
     k, noise = (100, 0.3) if p["is_titles"] else (28, 0.25) if mid else cluster.k_and_noise(vectors.contrast(points, edges).first()["rel"] or 0.0)
     found = settled(cluster.linkage_labels(points, min(k, max(2, filled // 2))))
@@ -173,7 +203,7 @@ def preset_b(batch: DataFrame, large: int = 15_000, lsa: int = 64, ppmi: int = 3
     if not p["is_titles"] and not mid:
         found = settled(labels.reassign_small(points, found))
         found = settled(labels.merge_mutual(points, found, 0.8, 1, 1))
-        found = settled(labels.merge_mutual(points, found, 0.86, 5, 2))
+        found = settled(labels.merge_mutual(points, found, 0.86, 5, 4))
     return labels.expand(batch, labels.densify(found))
 
 
@@ -199,10 +229,12 @@ def preset_c(batch: DataFrame, settings: Settings = Settings(), lsa: int | None
     points = settled(blocks.select("row_id", vectors.unit(F.col("v")).alias("v")))
     if clock.allows(0.5):
         points = settled(vectors.smooth(points, vectors.knn(points, s.smooth_k), s.smooth_alpha, 1))
+    if clock.allows(0.78):
+        points = reduced(points, filled, s.reduce_mode, s.reduce_dim, s.spectral_knn)
     edges = settled(vectors.knn(points, 15))
     found = settled(cluster.hdbscan_labels(points, s.min_cluster_size, s.min_samples))
     if found.filter(F.col("label") != NOISE).count() < 0.2 * filled:
-        found = settled(cluster.best_cut(points, vectors.symmetric(edges), s.k_candidates))
+        found = settled(cluster.best_cut(points, vectors.symmetric(settled(vectors.knn(points, s.spectral_knn))), s.k_candidates))
     if s.merge_scripts:
         found = settled(labels.merge_scripts(found, full.select("row_id", fn.script_id(F.col("text")).alias("script")), 0.02, 0.45))
     found = settled(labels.small_clusters(points, found, s.min_cluster_size, s.small_cluster_mode))

@@ -90,6 +90,43 @@ def test_svd_keeps_inner_products(spark):
     assert np.allclose(v @ v.T, a @ a.T, atol=1e-6)
 
 
+def test_reduce_modes(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 4)) @ rng.standard_normal((4, 10))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, v array<double>").cache()
+
+    def of(mode, dim):
+        return np.array([r.v for r in plans.reduced(points, 60, mode, dim, 5).orderBy("row_id").collect()])
+
+    v = of("svd", 4)
+    assert v.shape == (60, 4) and np.allclose(v @ v.T, x @ x.T, atol=1e-6)
+    s = of("spectral", 3)
+    assert s.shape == (60, 3) and np.allclose(np.linalg.norm(s, axis=1), 1)
+    assert np.allclose(of("none", 4), x)
+
+
+def test_presets_reduce(spark, monkeypatch):
+    """The third preset reduces by its settings; the second appends a spectral block and merges in 1 and 4 rounds."""
+    seen = []
+
+    def spy(module, name):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a: (seen.append((name, *a[1:])), real(*a))[1])
+
+    spy(plans, "reduced")
+    spy(plans, "_spectral")
+    spy(plans.labels, "merge_mutual")
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{chr(97 + i % 4)}{chr(97 + x)}" for x in rng.integers(0, 20, 40)) for i in range(64)]
+    batch = sources.from_list(spark, texts).cache()
+    assert plans.preset_c(batch, plans.Settings(reduce_mode="spectral", reduce_dim=6, spectral_knn=7), lsa=8).count() == 64
+    assert [c[0] for c in seen[:2]] == ["reduced", "_spectral"] and seen[0][1:] == (64, "spectral", 6, 7)
+    seen.clear()
+    assert plans.preset_b(batch, lsa=8, ppmi=8).count() == 64
+    assert [c[0] for c in seen] == ["_spectral", "merge_mutual", "merge_mutual"] and [c[-1] for c in seen[1:]] == [1, 4]
+
+
 def test_window_cooccurrence_counts_both_ways(spark):
     batch = spark.createDataFrame([(1, "a b a a"), (2, "c"), (3, "b c"), (4, None)], "row_id long, text string")
     words = F.split("text", " ")
