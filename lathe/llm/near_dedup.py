@@ -225,7 +225,7 @@ class NearDedup:
                     digest = xxhash.xxh3_128_digest(s.tobytes())
                     rows.append((s.size, digest, s[:k].tobytes()))
                 n, digest, sketch = zip(*rows, strict=True) if rows else ([], [], [])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], ["id", "n", "digest", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], ["id", "hash", "n", "digest", "sketch"])
 
         return run
 
@@ -248,7 +248,8 @@ class NearDedup:
                 found = [np.frombuffer(x, np.uint64)[:listed] for x in batch.column(1).to_pylist()]
                 count = [f.size for f in found]
                 values = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(batch.column(0).to_numpy(), count))], ["value", "id"])
+                digests = batch.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
+                yield pa.RecordBatch.from_arrays([pa.array(values), digests], ["value", "digest"])
 
         return run
 
@@ -256,31 +257,32 @@ class NearDedup:
         """Per row of docs: id, n_shingles, component_id, kept."""
         spark = docs.sparkSession
         scratch = Scratch(spark, "near")
-        rows = docs.select(docs[self.id_col].cast("long").alias("id"), docs[self.text_col].cast("string").alias("text"))
-        sketched = scratch.save(rows.mapInArrow(self._sketches(), "id long, n long, digest binary, sketch binary"), "sketches")
+        text = docs[self.text_col].cast("string")
+        # ids may repeat with other texts, so a row is known by its id and the hash of its text
+        rows = docs.select(docs[self.id_col].cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+        sketched = scratch.save(rows.mapInArrow(self._sketches(), "id long, hash long, n long, digest binary, sketch binary"), "sketches")
         filled = sketched.filter("n > 0 and id is not null")
-        classes = filled.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        classes = scratch.save(classes, "classes")
+        classes = filled.groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        classes = scratch.save(classes.select("digest", "row.id", "row.hash", "n", "sketch"), "classes")
 
-        listed = classes.select("id", "sketch").mapInArrow(self._least(), "value long, id long")
+        listed = classes.select("digest", "sketch").mapInArrow(self._least(), "value long, digest binary")
         lengths = listed.groupBy("value").agg(F.count("*").alias("length")).filter("length > 1")
         entries = listed.join(lengths, "value").withColumn("blocks", F.ceil(F.col("length") / F.lit(self.list_block)))
-        entries = scratch.save(entries.select("value", "id", "blocks"), "entries")
-        entries = entries.join(classes.select("id", F.col("n").alias("size"), F.col("sketch").alias("values")), "id")
+        entries = scratch.save(entries.select("value", "digest", "blocks"), "entries")
+        entries = entries.join(classes.select("digest", "id", F.col("n").alias("size"), F.col("sketch").alias("values")), "digest")
         likely = _in_blocks(entries, "value", "blocks", "size", "values").mapInArrow(_groups(_estimated, self.k, self.num, self.den), EDGES)
         families = connected(scratch.save(likely, "likely"), scratch, "families")
 
         # whole sets, once for each class of a family; blocks are bounded by members and by shingles
-        members = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(classes.select("id", F.col("n").alias("size")), "id")
+        members = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(classes.select("id", "hash", F.col("n").alias("size")), "id")
         bounds = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / F.lit(self.block), F.sum("size") / F.lit(1_000_000.0))).alias("blocks"))
-        members = scratch.save(members.join(bounds, "family").select("id", "family", "blocks", "size"), "members")
-        full = rows.join(members, "id").dropDuplicates(["id"]).select("id", "text", "family", "blocks", "size")
+        members = scratch.save(members.join(bounds, "family").select("id", "hash", "family", "blocks", "size"), "members")
+        full = rows.join(members, ["id", "hash"]).dropDuplicates(["id", "hash"]).select("id", "text", "family", "blocks", "size")
         full = full.mapInArrow(self._sets(), "id long, family long, blocks long, size long, values binary")
         links = _in_blocks(full, "family", "blocks", "size", "values").mapInArrow(_groups(_exact, self.k, self.num, self.den), EDGES)
         links = scratch.save(links, "links")
-        # rows that share an id are one document
-        same = filled.select("id", "digest").join(classes.select("digest", F.col("id").alias("of")), "digest").filter("id <> of")
-        found = connected(links.unionByName(self._shared_ids(same, classes)), scratch, "found")
+        named = filled.select("id", "digest").join(classes.select("digest", F.col("id").alias("of")), "digest")
+        found = connected(links.unionByName(self._shared_ids(named)), scratch, "found")
         scratch.drop("entries", "likely", "members")
 
         of = classes.select("digest", F.col("id").alias("node")).join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
@@ -295,9 +297,10 @@ class NearDedup:
         )
 
     @staticmethod
-    def _shared_ids(same: DataFrame, classes: DataFrame) -> DataFrame:
-        """Edges between a class and another class that is named after one of its members' ids."""
-        return same.join(classes.select("id"), "id").select(F.col("id").alias("a"), F.col("of").alias("b"))
+    def _shared_ids(named: DataFrame) -> DataFrame:
+        """Edges between all classes that rows of one id are in, as such rows are one document. named: (id, of: least id of its class)."""
+        several = named.groupBy("id").agg(F.min("of").alias("a"), F.max("of").alias("last")).filter("a <> last")
+        return named.join(several, "id").select("a", F.col("of").alias("b"))
 
     def keep_one(self, docs: DataFrame) -> DataFrame:
         """docs without all but one document of each component; of rows that share an id one stays."""

@@ -194,6 +194,17 @@ def test_drifting_chain_in_small_blocks(spark):
     assert {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]
 
 
+def test_near_copies_of_repeated_ids(spark):
+    """Rows of equal id are one document: all their texts are compared, and their classes are one component."""
+    text = {k: " ".join(f"{k}{j}" for j in range(60)) for k in "abcdefghijkl"}
+    rows = []
+    for x, (p, q) in enumerate(["ab", "cd", "ef", "gh"]):  # one id with two texts, each with a near copy of its own
+        rows += [(10 * x, text[p]), (10 * x, text[q]), (10 * x + 1, text[p] + " more"), (10 * x + 2, text[q] + " more")]
+    rows += [(100, text["i"]), (101, text["j"]), (105, text["i"]), (105, text["j"])]  # 105 names neither of its classes
+    got = {(r.doc_id, r.component_id) for r in near_dedup.NearDedup(3, 85, 100).components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, i // 10 * 10) for i, _ in rows}
+
+
 def cut(rows, n=50):
     first, out = {}, {}
     for i, t in sorted(rows):
