@@ -9,15 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lathe.llm.decontaminate import Decontaminator
-from lathe.llm.mixing import labelled_domains, mixed_documents
+from lathe.llm.mixing import TARGETS, labelled_domains, mixed_documents
 from lathe.llm.near_dedup import NearDedup
 from lathe.llm.quality_classifier import good_documents
 from lathe.llm.scratch import Scratch, table
 from lathe.llm.token_files import encode_corpus
 
-#: Target weights of the mix. Near what the corpus holds, so that few documents are repeated.
-TARGETS = {"en": 0.54, "de": 0.15, "fr": 0.15, "es": 0.11, "other": 0.05}
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the hierarchical quality classifier keeps."""

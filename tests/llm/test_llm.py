@@ -339,6 +339,15 @@ def test_stages_keep_columns_and_clashing_names(spark, odd):
         assert out.columns == docs.columns and out.count() > 0
 
 
+def test_pipeline_mixes_to_the_targets_of_op1(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "mixed_documents", lambda docs, labelled, targets: seen.append(targets))
+    corpus_pipeline.mixing(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert seen == [{"en": 0.50, "de": 0.15, "fr": 0.15, "es": 0.11, "other": 0.09}]
+
+
 def test_pipeline_on_a_small_table(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, SF).collect()
