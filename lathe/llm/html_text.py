@@ -1,27 +1,28 @@
-"""Main text of web pages: nearest-URL page differencing.
+"""Main text of web pages: nearest-URL page differencing, and markup for what differencing can't tell.
 
 1. Pages of a host are ordered by URL path by one global sort of (host, path, page) without their
    html; a page's partner is the neighbour on that order that shares more leading path segments.
    Neighbours are found by their places in the order, so a host with most of the pages is dealt like
    any other.
-2. Each page is cut into text lines, one for each block element. Lines in menus, page headers,
-   footers, sidebars, notices, adverts, forms and comments are dropped by their markup.
-3. The lines that are left are aligned with the partner's by longest common subsequence, and shared
-   lines are deleted: what two pages of one path have in common is the site's, not the page's.
-   Lines inside an article or main element are trusted and stay, as two articles may quote the same
-   passage; where there is such an element, nothing outside it is part of the text. A page all of
-   whose lines are shared is a copy of its partner and keeps them.
+2. Each page is cut into text lines, one for each block element. All lines outside article and main
+   elements are aligned with the partner's by longest common subsequence, and shared lines are deleted:
+   what two pages of one path have in common there is the site's, not the page's. Lines inside such an
+   element stay, as two articles may hold the same passage. A page none of whose lines would be left is
+   a copy of its partner and keeps them.
+3. Differencing can't see what a site varies from page to page. Of the lines it leaves, those in menus,
+   page headers, footers, sidebars, notices, adverts, forms and comments go by their markup; where there
+   is an article or main element, nothing outside it is part of the text.
 
 Null or empty html gives an empty text; a null or odd URL has the host "" and takes part as such.
-Repeated rows each give their row; an empty table gives an empty result. Other columns, whatever
-their names, are ignored.
+Repeated rows each give their row, and rows of one page id and URL with other html are pages of their
+own; an empty table gives an empty result. A very long page is held whole, and its alignment takes
+memory in proportion to its lines. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ NOISE = frozenset(
     "widget widgets toolbar pagination pager login masthead topbar skip".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-TRUSTED, PLAIN = 1, 0
+NOISY, PLAIN, TRUSTED = -1, 0, 1
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -74,25 +75,27 @@ def _noise(tag: str, attrs: dict[str, str], inside: bool) -> bool:
 
 
 def lines(page: str) -> list[tuple[str, int]]:
-    """Text lines of a page in order, each TRUSTED (inside an article or main element) or PLAIN."""
+    """Text lines of a page in order, each TRUSTED (inside an article or main element), PLAIN or NOISY (by its markup)."""
     out: list[tuple[str, int]] = []
     buffer: list[str] = []
+    noisy: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, drops its text, is an article or main element
     dropping = trusted = 0
     at, n = 0, len(page)
 
     def flush() -> None:
-        if buffer:
-            text = " ".join("".join(buffer).split())
-            buffer.clear()
-            if text:
-                out.append((text, TRUSTED if trusted else PLAIN))
+        for held, zone in ((buffer, TRUSTED if trusted else PLAIN), (noisy, NOISY)):
+            if held:
+                text = " ".join("".join(held).split())
+                held.clear()
+                if text:
+                    out.append((text, zone))
 
     while at < n:
         m = MARKUP.search(page, at)
         text = page[at : m.start() if m else n]
-        if text and not dropping:
-            buffer.append(entities.unescape(text) if "&" in text else text)
+        if text:
+            (noisy if dropping else buffer).append(entities.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
@@ -101,7 +104,7 @@ def lines(page: str) -> list[tuple[str, int]]:
             continue
         tag = tag.lower()
         if tag == "br":
-            buffer.append(" ")
+            (noisy if dropping else buffer).append(" ")
             continue
         block = tag in BLOCKS
         if block:
@@ -137,44 +140,64 @@ def lines(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def shared(a: list[int], b: list[int]) -> set[int]:
-    """Places in a of a longest common subsequence with b, by longest increasing runs of match places."""
-    places: dict[int, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        places.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    ends: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in places.get(x, ()):
-            k = bisect_left(tails, j)
-            node = (i, ends[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                ends.append(node)
-            else:
-                tails[k], ends[k] = j, node
-    out, node = set(), ends[-1] if ends else None
-    while node:
-        out.add(node[0])
-        node = node[1]
+def _ends(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequence of a with the first 0, 1 ... all of b; bits of one number stand for b."""
+    full, at = (1 << len(b)) - 1, {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    v = full
+    for x in a:
+        if u := v & at.get(x, 0):
+            v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
+def _common(a: list[int], places: list[int], b: list[int]) -> list[int]:
+    """The places of a longest common subsequence of a and b, by halving a: memory is linear."""
+    out, work = [], [(a, places, b)]
+    while work:
+        a, places, b = work.pop()
+        if not a or not b:
+            continue
+        if len(a) == 1:
+            out += places if a[0] in b else []
+            continue
+        m = len(a) // 2
+        k = int(np.argmax(_ends(a[:m], b) + _ends(a[m:][::-1], b[::-1])[::-1]))
+        work += [(a[:m], places[:m], b[:k]), (a[m:], places[m:], b[k:])]
     return out
 
 
+def shared(a: list[int], b: list[int]) -> set[int]:
+    """Places in a of a longest common subsequence with b; equal ends need no search."""
+    n, least = 0, min(len(a), len(b))
+    while n < least and a[n] == b[n]:
+        n += 1
+    m = 0
+    while m < least - n and a[-1 - m] == b[-1 - m]:
+        m += 1
+    in_b, in_a = set(b[n : len(b) - m]), set(a[n : len(a) - m])
+    places = [i for i in range(n, len(a) - m) if a[i] in in_b]
+    found = _common([a[i] for i in places], places, [x for x in b[n : len(b) - m] if x in in_a])
+    return {*range(n), *range(len(a) - m, len(a)), *found}
+
+
 def _digests(page: list[tuple[str, int]]) -> list[int]:
-    return [xxhash.xxh64_intdigest(t) for t, zone in page if zone == PLAIN]
+    return [xxhash.xxh64_intdigest(t) for t, zone in page if zone != TRUSTED]
 
 
-def main_text(page: str, partner: list[int] | None) -> str:
-    """The text of a page; partner: line digests of its nearest page."""
+def main_text(page: str, partner: list[int] | None) -> tuple[str, int, int]:
+    """(text of a page, lines outside articles that its partner shares, other lines that go by markup); partner: line digests of its nearest page."""
     found = lines(page)
     kept = [t for t, zone in found if zone == TRUSTED]
+    rest = [(t, zone) for t, zone in found if zone != TRUSTED]
+    gone = shared(_digests(rest), partner) if partner else set()
+    marked = sum(i not in gone and (zone == NOISY or bool(kept)) for i, (_, zone) in enumerate(rest))
     if not kept:
-        kept = [t for t, _ in found]
-        if partner:
-            gone = shared(_digests(found), partner)
-            if len(gone) < len(kept):
-                kept = [t for i, t in enumerate(kept) if i not in gone]
-    return "\n\n".join(kept)
+        plain = [(i, t) for i, (t, zone) in enumerate(rest) if zone == PLAIN]
+        kept = [t for i, t in plain if i not in gone] or [t for _, t in plain]
+    return "\n\n".join(kept), len(gone), marked
 
 
 def host_of(url: Column) -> Column:
@@ -212,7 +235,7 @@ def partners(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row of pages: id, url, text, n_chars.
+    """Per row of pages: id, url, text, n_chars, and how many lines went by differencing (n_shared) and by markup (n_marked).
 
     The sort carries keys only. Line digests of partners meet their pages in one join by page key,
     the only shuffle of html.
@@ -220,7 +243,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     scratch = Scratch(pages.sparkSession, "pages")
     kind = pages.schema[id_col].dataType.simpleString()
     page = pages[html_col].cast("string")
-    rows = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), F.xxhash64(pages[id_col].cast("string"), pages[url_col].cast("string")).alias("key"), page.alias("html"))
+    rows = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), F.xxhash64(pages[id_col].cast("string"), pages[url_col].cast("string"), page).alias("key"), page.alias("html"))
     links = partners(rows.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), scratch)
 
     def digest(batches):
@@ -230,15 +253,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def text(batches):
         for batch in batches:
-            out = []
-            for h, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                out.append(main_text(h or "", np.frombuffer(d, np.uint64).tolist() if d else None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["id", "url", "text", "n_chars"])
+            found = [main_text(h or "", np.frombuffer(d, np.uint64).tolist() if d else None) for h, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            out, *counts = zip(*found, strict=True) if found else ([], [], [])
+            more = [pa.array(c, pa.int64()) for c in (list(map(len, out)), *counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), *more], ["id", "url", "text", "n_chars", "n_shared", "n_marked"])
 
     digests = rows.select("key", "html").mapInArrow(digest, "partner long, digests binary").filter(F.length("digests") > 0).dropDuplicates(["partner"])
     near = links.join(digests, "partner").select("key", "digests")
     joined = rows.join(near, "key", "left").select("id", "url", "html", "digests")
-    return joined.mapInArrow(text, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(text, f"id {kind}, url string, text string, n_chars long, n_shared long, n_marked long").withColumnRenamed("id", id_col)
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

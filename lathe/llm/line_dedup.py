@@ -11,7 +11,8 @@ the documents is a join on the window against its first place; where one window
 adaptive execution splits that side.
 
 Null text stays null and has no lines. A null id comes after all others. Rows of equal id follow each
-other by text; equal rows count as one document. An empty table gives an empty result. Other columns,
+other by a hash of their text; equal rows count as one document. What is done in a row is linear in its
+number of lines, so that a very long text costs in proportion. An empty table gives an empty result. Other columns,
 whatever their names, are ignored.
 """
 
@@ -64,17 +65,16 @@ def drop_lines(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col:
         F.struct(*(docs[c] for c in docs.columns)).alias("row"), text.alias("text"),
         F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("row_id"), F.xxhash64(text).alias("row_t1"), F.xxhash64(F.lit(1), text).alias("row_t2"),
     )
-    out = rows.join(gone, ["row_id", "row_t1", "row_t2"], "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
-    count = F.coalesce(F.size("gone"), F.lit(0))
-    count = F.when(F.col("gone").isNull(), 0).otherwise(count).cast("long")
-    spans = F.coalesce(F.size(F.filter("gone", lambda x: ~F.array_contains("gone", x - 1))), F.lit(0))
+    out = rows.join(gone, ["row_id", "row_t1", "row_t2"], "left").withColumn("lines", F.split("text", "\n", -1))
+    # array_except goes through a hash set, so both expressions below are linear in the lines
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
+    count = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    spans = F.size(F.array_except("gone", F.transform("gone", lambda x: x + 1)))
     spans = F.when(F.col("gone").isNull(), 0).otherwise(spans).cast("long")
     return out.select(
         "row",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         count.alias("n_removed"), spans.alias("n_spans"),
     )
 

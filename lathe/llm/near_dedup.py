@@ -3,18 +3,26 @@
 1. Every document's set of word shingles is hashed with one function; the k least values are its
    sketch. Documents with equal sets (by a 128-bit digest) form a class, and one class counts once.
 2. Inverted lists of the `listed` least values bring together classes that share one. Two sets
-   of similarity s share none of the least r values with a probability of (1 - s)^r at most.
+   of similarity s share none of the least r values with a probability of (1 - s)^r at most. A value
+   that more than `list_block` classes list is common to texts that have little else in common; its
+   classes are listed by pairs of it and another of their `paired` least values instead.
 3. Within a list, union sketches estimate similarities: of the least values of both sketches
    together, the share that lies in both. Pairs whose estimate is too low to be a link (chance of a
    wrong rejection about one in 10^8) go. What remains joins classes into families.
 4. Within each family, full sets are compared exactly; links make the components.
 
-Long lists and large families are dealt in blocks of bounded size, every pair of blocks being a group
-of its own, and a group sends out who is connected, not all its pairs.
+Lists and families above a block are not compared pair by pair. First each block is compared in itself
+and with a few hubs, members of the list that a hash picks and every block gets. What this connects
+needs no more comparison; only the members that stay outside the list's largest component are compared
+with the others, in pairs of blocks. So a family of near copies costs in proportion to its size. A
+group sends out who is connected, not all its pairs.
+
+`risk` 0 is the exact way: lists of every value of which two linked sets must share one (the least
+n - least overlap + 1 of n), and full sets compared in the lists.
 
 Null or empty text has an empty set and is linked with nothing, as is a null id (component null,
 kept). Rows of equal id are one document for the components; an empty table gives an empty result;
-other columns are ignored.
+a very long text is held whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ from math import ceil, comb, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -190,27 +198,67 @@ def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _in_blocks(rows: DataFrame, key: str, blocks: str, *carried: str) -> DataFrame:
-    """Rows once for each pair of blocks they belong to, brought together and sorted for _groups."""
-    n = F.col(blocks)
-    own = F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
-    # one block needs no pairs; with more, a row meets every block but the pair (own, own) is part of another
-    others = F.when(n <= 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), n.cast("int") - 1), lambda x: x != F.col("own")))
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
-    rows = rows.select(key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", *carried)
-    return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "id")
+HUBS = 8
+
+
+def _brought_together(rows: DataFrame, test, *key: str) -> DataFrame:
+    """The edges within each group of rows (key..., id, size, values)."""
+    return rows.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(test, EDGES)
+
+
+def _in_block(n: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+
+
+def edges_of(rows: DataFrame, key: str, block: int, test, scratch: Scratch, name: str) -> DataFrame:
+    """Edges that connect all that `test` connects among rows of one key.
+
+    rows: (key, blocks, id, size, values), read from tables; blocks: the number into which the key's rows are cut.
+    """
+    n = F.col("blocks").cast("int")
+    hub = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.lit(float(HUBS << 30)) / (n * block)
+    at = F.when(n <= 1, F.array(F.lit(0))).when(hub, F.sequence(F.lit(0), n - 1)).otherwise(F.array(_in_block(n, 7)))
+    first = rows.select(key, F.explode(at).alias("lo"), "id", "size", "values")
+    first = scratch.save(_brought_together(first, test, key, "lo"), f"{name}-1")
+    long = rows.filter("blocks > 1")
+    if long.isEmpty():
+        return first
+    label = connected(first, scratch, f"{name}-in")
+    known = long.select(key, "blocks", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select(key, "blocks", "id", F.coalesce("component", "id").alias("component"))
+    known = scratch.save(known.distinct(), f"{name}-known")
+    largest = known.groupBy(key, "component").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("x"))
+    largest = largest.select(key, "all", F.col("x.component").alias("main"), (F.col("all") - F.col("x.n")).alias("rest")).filter("rest > 0")
+    dealt = known.join(largest, key).select(key, "id", "all", "rest", (F.col("component") != F.col("main")).alias("outside"))
+    rows = long.join(dealt, [key, "id"])
+    own = _in_block(n, 7)
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda x: x != own), lambda x: F.struct(F.least(x, own).alias("lo"), F.greatest(x, own).alias("hi")))
+    # few are outside: their blocks against all blocks
+    r = F.ceil(F.col("rest") / F.lit(block)).cast("int")
+    met = F.transform(F.sequence(F.lit(0), r - 1), lambda x: F.struct(x.alias("lo"), own.alias("hi")))
+    mine = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(_in_block(r, 13).alias("lo"), x.alias("hi")))
+    few = F.when(F.col("outside"), F.array_distinct(F.concat(met, mine))).otherwise(met)
+    second = rows.select(key, F.inline(F.when(2 * F.col("rest") > F.col("all"), pairs).otherwise(few)), "id", "size", "values")
+    second = scratch.save(_brought_together(second, test, key, "lo", "hi"), f"{name}-2")
+    return first.unionByName(second)
 
 
 class NearDedup:
     """words: shingle length; num / den: the least similarity of a link; k: sketch size.
 
-    risk: of a link's two sets sharing no listed value; it sets how many values of a sketch are listed.
-    list_block, block: rows of a list and of a family that are compared at once, in pairs of blocks.
+    risk: of a link's two sets sharing no listed value (or, in pairs, fewer than two); it sets how many values
+    of a sketch are listed. 0 is the exact way.
+    list_block, block: rows of a list and of a family that are compared at once.
     """
 
     def __init__(self, words: int = 5, num: int = 80, den: int = 100, k: int = 64, risk: float = 1e-6, list_block: int = 1024, block: int = 512, id_col: str = "doc_id", text_col: str = "text"):
         self.words, self.num, self.den, self.k, self.list_block, self.block = words, num, den, k, list_block, block
-        self.listed = max(1, ceil(log(risk) / log(1 - num / den)))
+        if not 0 < num <= den or not 0 <= risk < 1:
+            raise ValueError("0 < num <= den and 0 <= risk < 1")
+        self.exact, far = risk == 0, 1 - num / den
+        self.listed = 1 if self.exact or not far else min(k, max(1, ceil(log(risk) / log(far))))
+        self.paired = self.listed + 1
+        while not self.exact and self.paired < k and far ** (self.paired - 1) * (far + self.paired * (1 - far)) > risk:
+            self.paired += 1
         self.id_col, self.text_col = id_col, text_col
 
     def _sketches(self):
@@ -240,12 +288,11 @@ class NearDedup:
 
         return run
 
-    def _least(self):
-        listed = self.listed
-
+    @staticmethod
+    def _least(n: int):
         def run(batches):
             for batch in batches:
-                found = [np.frombuffer(x, np.uint64)[:listed] for x in batch.column(1).to_pylist()]
+                found = [np.frombuffer(x, np.uint64)[:n] for x in batch.column(1).to_pylist()]
                 count = [f.size for f in found]
                 values = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
                 digests = batch.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
@@ -253,6 +300,36 @@ class NearDedup:
 
         return run
 
+    def _prefixes(self):
+        """Of texts: all values of which a linked set must share one, and the whole sets."""
+        words, num, den = self.words, self.num, self.den
+
+        def run(batches):
+            shingle = Shingler(words)
+            for batch in batches:
+                sets = [shingle(raw or b"") for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+                least = [s[: s.size - -(-s.size * num // den) + 1].tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(least, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "id", "size", "least", "values"])
+
+        return run
+
+    def _lists(self, sketched: DataFrame, column: str, scratch: Scratch) -> DataFrame:
+        """(value, digest, blocks) for all lists of two classes and more. sketched: (digest, and column: their least values)."""
+        listed = sketched.select("digest", column).mapInArrow(self._least(2**31 if self.exact else self.listed), "value long, digest binary")
+        lengths = scratch.save(listed.groupBy("value").agg(F.count("*").alias("length")).filter("length > 1"), "lengths")
+        blocks = F.ceil(F.col("length") / F.lit(self.list_block)).alias("blocks")
+        common = lengths.filter(F.col("length") > self.list_block).select("value")
+        if self.exact or common.isEmpty():
+            return scratch.save(listed.join(lengths, "value").select("value", "digest", blocks), "entries")
+        short = listed.join(lengths.filter(F.col("length") <= self.list_block), "value").select("value", "digest", blocks)
+        # classes under a common value, by the pairs of it and their other values
+        has = scratch.save(listed.join(common, "value"), "common")
+        more = sketched.select("digest", column).join(has.select("digest").distinct(), "digest", "left_semi").mapInArrow(self._least(self.paired), "value long, digest binary")
+        pair = has.join(more.select("digest", F.col("value").alias("other")), "digest").filter("value <> other")
+        pair = scratch.save(pair.select(F.xxhash64(F.least("value", "other"), F.greatest("value", "other")).alias("value"), "digest").distinct(), "pairs")
+        lengths = pair.groupBy("value").agg(F.count("*").alias("length")).filter("length > 1")
+        return scratch.save(short.unionByName(pair.join(lengths, "value").select("value", "digest", blocks)), "entries")
+
     def components(self, docs: DataFrame) -> DataFrame:
         """Per row of docs: id, n_shingles, component_id, kept."""
         spark = docs.sparkSession
@@ -264,26 +341,9 @@ class NearDedup:
         filled = sketched.filter("n > 0 and id is not null")
         classes = filled.groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         classes = scratch.save(classes.select("digest", "row.id", "row.hash", "n", "sketch"), "classes")
-
-        listed = classes.select("digest", "sketch").mapInArrow(self._least(), "value long, digest binary")
-        lengths = listed.groupBy("value").agg(F.count("*").alias("length")).filter("length > 1")
-        entries = listed.join(lengths, "value").withColumn("blocks", F.ceil(F.col("length") / F.lit(self.list_block)))
-        entries = scratch.save(entries.select("value", "digest", "blocks"), "entries")
-        entries = entries.join(classes.select("digest", "id", F.col("n").alias("size"), F.col("sketch").alias("values")), "digest")
-        likely = _in_blocks(entries, "value", "blocks", "size", "values").mapInArrow(_groups(_estimated, self.k, self.num, self.den), EDGES)
-        families = connected(scratch.save(likely, "likely"), scratch, "families")
-
-        # whole sets, once for each class of a family; blocks are bounded by members and by shingles
-        members = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(classes.select("id", "hash", F.col("n").alias("size")), "id")
-        bounds = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / F.lit(self.block), F.sum("size") / F.lit(1_000_000.0))).alias("blocks"))
-        members = scratch.save(members.join(bounds, "family").select("id", "hash", "family", "blocks", "size"), "members")
-        full = rows.join(members, ["id", "hash"]).dropDuplicates(["id", "hash"]).select("id", "text", "family", "blocks", "size")
-        full = full.mapInArrow(self._sets(), "id long, family long, blocks long, size long, values binary")
-        links = _in_blocks(full, "family", "blocks", "size", "values").mapInArrow(_groups(_exact, self.k, self.num, self.den), EDGES)
-        links = scratch.save(links, "links")
+        links = self._exact_links(rows, classes, scratch) if self.exact else self._links(rows, classes, scratch)
         named = filled.select("id", "digest").join(classes.select("digest", F.col("id").alias("of")), "digest")
         found = connected(links.unionByName(self._shared_ids(named)), scratch, "found")
-        scratch.drop("entries", "likely", "members")
 
         of = classes.select("digest", F.col("id").alias("node")).join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
         out = sketched.select("id", "n", "digest").join(of, "digest", "left")
@@ -296,6 +356,26 @@ class NearDedup:
             F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
         )
 
+    def _exact_links(self, rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+        whole = rows.join(classes.select("digest", "id", "hash", F.col("n").alias("size")), ["id", "hash"]).dropDuplicates(["digest"]).select("digest", "text", "id", "size")
+        whole = scratch.save(whole.mapInArrow(self._prefixes(), "digest binary, id long, size long, least binary, values binary"), "whole")
+        entries = self._lists(whole, "least", scratch)
+        return edges_of(entries.join(whole.drop("least"), "digest").drop("digest"), "value", self.list_block, _groups(_exact, self.k, self.num, self.den), scratch, "links")
+
+    def _links(self, rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+        entries = self._lists(classes, "sketch", scratch)
+        entries = entries.join(classes.select("digest", "id", F.col("n").alias("size"), F.col("sketch").alias("values")), "digest").drop("digest")
+        likely = edges_of(entries, "value", self.list_block, _groups(_estimated, self.k, self.num, self.den), scratch, "likely")
+        families = connected(likely, scratch, "families")
+
+        # whole sets, once for each class of a family; blocks are bounded by members and by shingles
+        members = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(classes.select("id", "hash", F.col("n").alias("size")), "id")
+        bounds = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / F.lit(self.block), F.sum("size") / F.lit(1_000_000.0))).alias("blocks"))
+        members = scratch.save(members.join(bounds, "family").select("id", "hash", "family", "blocks", "size"), "members")
+        full = rows.join(members, ["id", "hash"]).dropDuplicates(["id", "hash"]).select("id", "text", "family", "blocks", "size")
+        full = scratch.save(full.mapInArrow(self._sets(), "id long, family long, blocks long, size long, values binary"), "full")
+        return edges_of(full, "family", self.block, _groups(_exact, self.k, self.num, self.den), scratch, "links")
+
     @staticmethod
     def _shared_ids(named: DataFrame) -> DataFrame:
         """Edges between all classes that rows of one id are in, as such rows are one document. named: (id, of: least id of its class)."""

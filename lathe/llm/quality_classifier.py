@@ -4,12 +4,15 @@ A logistic model on counts of one text gives each document's evidence. Grouped a
 document posteriors by host and by path; a site's rate is its own mean shrunk toward the level
 above (path to host, host to the global rate), the more so the fewer documents it has. The strength
 of shrinking at each level comes from the data by the method of moments. A document's quality is its
-own evidence combined with its site's rate, from which its own share is taken out first.
-
-Null text is scored as empty text. A null host or path is a site of its own. With no usable label of
-both kinds every document keeps the prior 0.5 and the evidence 0, so all are kept. Repeated rows
-count as often as they occur; repeated labels of one id count once (the lowest); an empty table gives
-an empty result. Other columns, whatever their names, pass through untouched.
+own evidence combined with its site's log-odds, from which its own share is taken out first. How much
+the site counts is one weight, fitted on labelled documents that the document model hasn't seen: where
+sites say nothing of quality it is next to 0, where they do, a site moves verdicts either way.
+
+Null text is scored as empty text; texts of any length are read whole. A null host or path is a site of
+its own, apart from one named "". With no usable label of both kinds every document keeps the prior 0.5
+and the evidence 0, so all are kept. Repeated rows count as often as they occur; repeated labels of one
+id count once (the lowest); an empty table gives an empty result. Other columns, whatever their names,
+pass through untouched.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .textstats import Stats
 #: Upper bound of labelled rows that the document model is fitted on.
 MAX_LABELLED = 20_000
 MOST = 1e4
+#: Sites up to which their table is sent to every task (about 100 bytes each).
+MAX_SITES = 200_000
 
 
 def features(raw: bytes) -> list[float]:
@@ -79,27 +84,53 @@ class LogisticModel:
         return np.clip(self._wide((x - self.mean) / self.scale) @ self.weight, -12, 12)
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> LogisticModel | None:
-    """The document model from about `most` labelled rows, chosen by a hash of the id."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, host: Column, path: Column, label: str, id_col: str, text_col: str, most: int) -> list:
+    """(x: features, y: label, h and p: site keys, held: out of the fit) of about `most` labelled rows, chosen by a hash of the id."""
     labels = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).dropna()
     labels = labels.groupBy("id").agg(F.min("y").alias("y"))
     n = labels.count()
     if n > most:
         labels = labels.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    held = F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(4)) == 0
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), host.alias("h"), path.alias("p"))
     # the labelled side is bounded by `most`, so it may be broadcast whatever the size of docs
     rows = rows.join(F.broadcast(labels), "id")
 
     def run(batches):
         for batch in batches:
             x = [features(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), *batch.columns[1:]], ["x", "y", "h", "p", "held"])
+
+    return rows.select("text", "y", "h", "p", held.alias("held")).mapInArrow(run, "x array<double>, y double, h string, p string, held boolean").collect()
+
 
-    got = rows.select("text", "y").mapInArrow(run, "x array<double>, y double").collect()
-    y = np.array([r["y"] for r in got])
+def fit_model(rows: list) -> LogisticModel | None:
+    """The document model; none without labels of both kinds."""
+    y = np.array([r["y"] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    return LogisticModel.fit(np.array([r["x"] for r in got]), y)
+    return LogisticModel.fit(np.array([r["x"] for r in rows]), y)
+
+
+def site_weight(evidence: np.ndarray, site: np.ndarray, y: np.ndarray, strength: float = 4.0, rounds: int = 50) -> float:
+    """The nonnegative weight of the site's log-odds (less the prior) beside the evidence, by Newton steps.
+
+    strength: of a normal prior around 0, so that few labels don't make a site count.
+    """
+    w = 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(evidence + w * site, -30, 30)))
+        slope, curve = ((y - p) * site).sum() - strength * w, (p * (1 - p) * site * site).sum() + strength
+        new = max(0.0, w + float(np.clip(slope / curve, -0.5, 0.5)))
+        if abs(new - w) < 1e-9:
+            break
+        w = new
+    return w
+
+
+def site_key(*names: Column) -> Column:
+    """A string that is the same for equal names only, nulls being names too."""
+    return F.to_json(F.array(*(n.cast("string") for n in names)))
 
 
 def evidence(model: LogisticModel | None, text: Column) -> Column:
@@ -137,51 +168,91 @@ def _shrink(groups: DataFrame, parent: str) -> Column:
     return F.lit(float(min(max(belief, 1.0), MOST)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, label: str = "quality", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> DataFrame:
+class Sites:
+    """Rates of hosts and of paths, shrunk toward the level above.
+
+    scored: (h, p, q_doc). What is shuffled is one partial sum for each task and site.
+    """
+
+    def __init__(self, scored: DataFrame, scratch: Scratch):
+        p = F.col("q_doc")
+        sites = scored.groupBy("h", "p").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q"))
+        sites = scratch.save(sites, "sites")
+        whole = sites.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).first()
+        self.total = F.lit(float(whole["s"] / whole["n"]) if whole["n"] else 0.5)
+        hosts = sites.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q"))).withColumn("above", self.total)
+        self.by_host = _shrink(hosts, "above")
+        hosts = hosts.select("h", F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+        both = sites.join(hosts, "h").withColumn("above", (self.by_host * self.total + F.col("host_s")) / (self.by_host + F.col("host_n")))
+        self.by_path = _shrink(both, "above")
+        self.table = scratch.save(both.select("h", "p", F.col("n").alias("path_n"), F.col("s").alias("path_s"), "host_n", "host_s"), "rates")
+        self.small = whole["k"] <= MAX_SITES
+
+    def rates(self, scored: DataFrame) -> DataFrame:
+        """scored with q_host and q_path, both without the row's own share."""
+        own, one = F.col("q_doc"), F.lit(1.0)
+        out = scored.join(F.broadcast(self.table) if self.small else self.table, ["h", "p"])
+        out = out.withColumn("q_host", (self.by_host * self.total + F.col("host_s") - own) / (self.by_host + F.col("host_n") - one))
+        return out.withColumn("q_path", (self.by_path * F.col("q_host") + F.col("path_s") - own) / (self.by_path + F.col("path_n") - one))
+
+
+def _log_odds(p: Column) -> Column:
+    safe = F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
+    return F.log(safe / (1 - safe))
+
+
+SCORES = ("q_evidence", "q_doc", "q_host", "q_path", "q_posterior", "q_kept")
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, label: str = "quality", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED, carried: list[str] | None = None) -> DataFrame:
     """Each row of docs, as the struct `row`, with q_evidence, q_doc, q_host, q_path, q_posterior, q_kept.
 
-    The texts are read twice (site sums, then scores) and never shuffled; what is shuffled is one
-    partial sum for each task and site. Site tables are joined, and sent to all only where Spark
-    knows they are small.
+    carried: the columns of docs in `row`, all by default. The texts are read twice (site sums, then
+    scores). While there are at most MAX_SITES sites nothing else is shuffled; beyond, (id, hash of the
+    text, site) meet the site table, and their scores the rows, by keys that no host shares.
     """
     scratch = Scratch(docs.sparkSession, "sites")
-    model = fit_model(docs, labels, label, id_col, text_col, most)
+    host, path = site_key(host), site_key(host, path)
+    rows = labelled_rows(docs, labels, host, path, label, id_col, text_col, most)
+    # the model that scores is fitted without the rows that the site's weight is fitted on
+    model = fit_model([r for r in rows if not r["held"]])
     rate = model.rate if model else 0.5
-    prior = F.lit(float(np.log(rate / (1 - rate))))
-    docs = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), host.alias("h"), path.alias("p"), docs[text_col].alias("t"))
-    host, path, text = F.col("h"), F.col("p"), F.col("t")
-    named = docs.withColumns({"q_host_key": F.coalesce(host.cast("string"), F.lit("")), "q_path_key": F.coalesce(path.cast("string"), F.lit("")), "q_evidence": evidence(model, text)})
-    scored = named.withColumn("q_doc", 1 / (1 + F.exp(-(F.col("q_evidence") + prior))))
-    p = F.col("q_doc")
-    sites = scored.groupBy("q_host_key", "q_path_key").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q"))
-    sites = scratch.save(sites, "sites")
-    whole = sites.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    total = F.lit(float(whole["s"] / whole["n"]) if whole["n"] else 0.5)
-    hosts = sites.groupBy("q_host_key").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q"))).withColumn("above", total)
-    by_host = _shrink(hosts, "above")
-    hosts = hosts.select("q_host_key", F.col("n").alias("host_n"), F.col("s").alias("host_s"))
-    both = sites.join(hosts, "q_host_key").withColumn("above", (by_host * total + F.col("host_s")) / (by_host + F.col("host_n")))
-    by_path = _shrink(both, "above")
-    both = both.select("q_host_key", "q_path_key", F.col("n").alias("path_n"), F.col("s").alias("path_s"), "host_n", "host_s")
-    out = scored.join(both, ["q_host_key", "q_path_key"])
-    one = F.lit(1.0)
-    out = out.withColumn("q_host", (by_host * total + F.col("host_s") - p) / (by_host + F.col("host_n") - one))
-    out = out.withColumn("q_path", (by_path * F.col("q_host") + F.col("path_s") - p) / (by_path + F.col("path_n") - one))
-    safe = F.greatest(F.least(F.col("q_path"), F.lit(1 - 1e-6)), F.lit(1e-6))
-    # what a site says of its documents is bounded, so that no clean text falls with its neighbours alone
-    lean = F.greatest(F.least(F.log(safe / (1 - safe)), prior + 3.0), prior - 1.0)
-    out = out.withColumn("q_posterior", 1 / (1 + F.exp(-(F.col("q_evidence") + lean))))
-    out = out.withColumn("q_kept", F.col("q_posterior") >= threshold)
-    return out.select("row", "q_evidence", "q_doc", "q_host", "q_path", "q_posterior", "q_kept")
+    prior = float(np.log(rate / (1 - rate)))
+
+    def scored(*columns: Column) -> DataFrame:
+        out = docs.select(*columns, host.alias("h"), path.alias("p"), evidence(model, docs[text_col]).alias("q_evidence"))
+        return out.withColumn("q_doc", 1 / (1 + F.exp(-(F.col("q_evidence") + F.lit(prior)))))
+
+    sites = Sites(scored(), scratch)
+    weight = 0.0
+    held = [r for r in rows if r["held"]] if model else []
+    if held:
+        say = model.logit(np.array([r["x"] for r in held]))
+        known = docs.sparkSession.createDataFrame([(r["h"], r["p"], float(1 / (1 + np.exp(-e))), float(e), r["y"]) for r, e in zip(held, say, strict=True)], "h string, p string, q_doc double, e double, y double")
+        got = sites.rates(known).select("e", (_log_odds(F.col("q_path")) - F.lit(prior)).alias("site"), "y").collect()
+        weight = site_weight(*(np.array([r[i] for r in got]) for i in range(3)))
+    row = F.struct(*(docs[c] for c in carried or docs.columns)).alias("row")
+
+    def judged(out: DataFrame) -> DataFrame:
+        out = sites.rates(out)
+        out = out.withColumn("q_posterior", 1 / (1 + F.exp(-(F.col("q_evidence") + F.lit(prior) + F.lit(weight) * (_log_odds(F.col("q_path")) - F.lit(prior))))))
+        return out.withColumn("q_kept", F.col("q_posterior") >= threshold)
+
+    if sites.small:
+        return judged(scored(row)).select("row", *SCORES)
+    keys = docs[id_col].alias("k_id"), F.xxhash64(docs[text_col].cast("string")).alias("k_t")
+    known = judged(scored(*keys).dropDuplicates(["k_id", "k_t", "p"])).select(F.col("k_id").alias("b_id"), F.col("k_t").alias("b_t"), F.col("p").alias("b_p"), *SCORES)
+    whole = docs.select(row, docs[id_col].alias("k_id"), F.xxhash64(docs[text_col].cast("string")).alias("k_t"), path.alias("k_p"))
+    return whole.join(known, F.col("k_id").eqNullSafe(F.col("b_id")) & (F.col("k_t") == F.col("b_t")) & (F.col("k_p") == F.col("b_p"))).select("row", *SCORES)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with their columns."""
-    kept = score_quality(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+    kept = score_quality(docs, labels, F.col("source"), F.col("lang"))
     return kept.filter("q_kept").select("row.*")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = score_quality(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+    out = score_quality(docs, labels, F.col("source"), F.col("lang"), carried=["doc_id", "source", "lang"])
     return out.select("row.doc_id", "row.source", "row.lang", "q_doc", "q_host", "q_path", "q_posterior", F.col("q_kept").alias("kept"))

@@ -22,8 +22,9 @@ are merged before the shuffle and a string that all documents hold is no hot key
 64 bits, with 32 more to tell classes apart within a bucket.
 
 Null text is empty. A null id has no order: nothing is removed there and it marks nothing. Rows of
-equal id are not smaller than each other. An empty table gives an empty result; other columns are
-ignored.
+equal id are not smaller than each other; equal rows have equal results. A very long text is handled
+whole in memory (about 60 bytes for each of its own). An empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,21 +136,29 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-SENT = "bucket int, docs binary, sizes binary, gram binary, context binary, place binary, settled_sizes binary, settled_place binary"
+SENT = "bucket int, docs binary, orders binary, sizes binary, gram binary, context binary, place binary, settled_sizes binary, settled_place binary"
 
 
-def _send(doc: np.ndarray, ids: np.ndarray, place: np.ndarray, gram: np.ndarray, context: np.ndarray, buckets: int, shift: int):
+class Names:
+    """Unique keys of documents, and the numbers that order them: the keys themselves unless ids repeat."""
+
+    def __init__(self, key: np.ndarray, order: np.ndarray | None):
+        self.key, self.order, self.same = key, key if order is None else order, order is None
+
+
+def _send(doc: np.ndarray, names: Names, place: np.ndarray, gram: np.ndarray, context: np.ndarray, buckets: int):
     """One row for each bucket: the first document's pointers of every class, and the places settled here.
 
-    doc: index into ids (the document keys, of which ids >> shift gives the order).
+    doc: index into names.
     """
     if not gram.size:
         return
-    order = np.lexsort((ids[doc] >> shift, context, gram))
+    rank = names.order
+    order = np.lexsort((rank[doc], context, gram))
     doc, place, gram, context = doc[order], place[order], gram[order], context[order]
     fresh = np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]))
     first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    settled = (ids[doc] >> shift) > (ids[doc[first]] >> shift)
+    settled = rank[doc] > rank[doc[first]]
     bucket = ((gram >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((place, doc, bucket))
     doc, place, gram, context, settled, bucket = (x[order] for x in (doc, place, gram, context, settled, bucket))
@@ -157,32 +166,32 @@ def _send(doc: np.ndarray, ids: np.ndarray, place: np.ndarray, gram: np.ndarray,
     rows = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         own, off = doc[a:b], settled[a:b]
-        names, index = np.unique(own, return_inverse=True)
-        sizes = [np.bincount(index[m], minlength=names.size) for m in (~off, off)]
-        rows.append((int(bucket[a]), ids[names].tobytes(), _planes(sizes[0]), gram[a:b][~off].tobytes(), context[a:b][~off].tobytes(), _planes(place[a:b][~off]), _planes(sizes[1]), _planes(place[a:b][off])))
-    kinds = [pa.int32()] + [pa.binary()] * 7
-    names = [c.split()[0] for c in SENT.split(", ")]
-    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        of, index = np.unique(own, return_inverse=True)
+        sizes = [np.bincount(index[m], minlength=of.size) for m in (~off, off)]
+        rows.append((int(bucket[a]), names.key[of].tobytes(), b"" if names.same else rank[of].tobytes(), _planes(sizes[0]), gram[a:b][~off].tobytes(), context[a:b][~off].tobytes(), _planes(place[a:b][~off]), _planes(sizes[1]), _planes(place[a:b][off])))
+    kinds = [pa.int32()] + [pa.binary()] * 8
+    columns = [c.split()[0] for c in SENT.split(", ")]
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], columns)
 
 
 FLAGGED = "doc long, place int, flag int"
 
 
-def _refine(shift: int, whole: bool):
+def _refine(whole: bool):
     """Flags of one bucket's pointers. whole: classes decide alone, and none is left open."""
 
     def run(group: pa.Table) -> pa.Table:
-        doc, place, gram, context, sdoc, splace = [], [], [], [], [], []
+        doc, key, place, gram, context, sdoc, splace = [], [], [], [], [], [], []
         for r in group.to_pylist():
-            ids = np.frombuffer(r["docs"], np.int64)
-            doc.append(np.repeat(ids, _unplanes(r["sizes"])))
+            ids, size = np.frombuffer(r["docs"], np.int64), _unplanes(r["sizes"])
+            doc.append(np.repeat(ids, size))
+            key.append(np.repeat(np.frombuffer(r["orders"], np.int64), size) if r["orders"] else doc[-1])
             place.append(_unplanes(r["place"]))
             gram.append(np.frombuffer(r["gram"], np.uint64))
             context.append(np.frombuffer(r["context"], np.uint32))
             sdoc.append(np.repeat(ids, _unplanes(r["settled_sizes"])))
             splace.append(_unplanes(r["settled_place"]))
-        doc, place, gram, context, sdoc, splace = map(np.concatenate, (doc, place, gram, context, sdoc, splace))
-        key = doc >> shift
+        doc, key, place, gram, context, sdoc, splace = map(np.concatenate, (doc, key, place, gram, context, sdoc, splace))
         order = np.lexsort((key, context, gram))
         doc, place, gram, context, key = doc[order], place[order], gram[order], context[order], key[order]
         new_gram = np.append(True, gram[1:] != gram[:-1])
@@ -216,13 +225,15 @@ def _extent(at: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, q:
     return np.maximum(at - (length - q), start), np.minimum(at + length, end)
 
 
-def _texts(batches, *more: int):
+def _texts(batches, *more: str):
+    """(texts, their names, further columns) of about CHUNK_BYTES at a time."""
     for batch in batches:
-        raw = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        ids = batch.column(0).to_numpy()
-        rest = [batch.column(i) for i in more]
+        raw = [t or b"" for t in batch["text"].cast(pa.binary()).to_pylist()]
+        ids = batch["key"].to_numpy()
+        order = batch["rank"].to_numpy() if "rank" in batch.schema.names else None
+        rest = [batch[c] for c in more]
         for a, b in spans([len(t) for t in raw], CHUNK_BYTES):
-            yield (raw[a:b], ids[a:b], *(c.slice(a, b - a) for c in rest))
+            yield (raw[a:b], Names(ids[a:b], None if order is None else order[a:b]), *(c.slice(a, b - a) for c in rest))
 
 
 class SubstringDedup:
@@ -233,25 +244,29 @@ class SubstringDedup:
             raise ValueError("q must lie below length and be a third of it at least")
         self.length, self.q, self.id_col, self.text_col = length, q, id_col, text_col
 
-    def _keyed(self, docs: DataFrame) -> tuple[DataFrame, int]:
-        """(key, text) with unique keys that keep the order of ids, and the bits by which keys are shifted."""
-        rows = docs.select(docs[self.id_col].cast("long").alias("key"), docs[self.text_col].cast("string").alias("text")).filter("key is not null")
+    def _keyed(self, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+        """(key, text) with unique keys in the order of ids; if ids repeat, (key, rank, text) and the table (key, rank, hash).
+
+        rank: the id, which orders documents. Then a key stands for an id with one of its texts.
+        """
+        text = docs[self.text_col].cast("string")
+        rows = docs.select(docs[self.id_col].cast("long").alias("key"), text.alias("text"), F.xxhash64(text).alias("hash")).filter("key is not null")
         most = rows.groupBy("key").count().agg(F.max("count").alias("n")).first()["n"] or 0
         if most <= 1:
-            return rows, 0
-        shift = int(most).bit_length()
-        rows = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.coalesce("text", F.lit("")))).alias("texts"))
-        rows = rows.select("key", F.posexplode("texts").alias("i", "text"))
-        return rows.select((F.shiftleft("key", shift) + F.col("i")).alias("key"), "text"), shift
+            return rows.select("key", "text"), None
+        names = rows.select(F.col("key").alias("rank"), "hash").distinct().withColumn("key", F.monotonically_increasing_id())
+        names = scratch.save(names.select("key", "rank", "hash"), "names")  # written, so that keys stay what they are
+        rows = rows.withColumnRenamed("key", "rank").dropDuplicates(["rank", "hash"]).join(names, ["rank", "hash"])
+        return scratch.save(rows.select("key", "rank", "text"), "texts"), names
 
-    def _flags(self, sent: DataFrame, shift: int, whole: bool) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(_refine(shift, whole), FLAGGED)
+    def _flags(self, sent: DataFrame, whole: bool) -> DataFrame:
+        return sent.groupBy("bucket").applyInArrow(_refine(whole), FLAGGED)
 
-    def _first(self, buckets: int, shift: int):
+    def _first(self, buckets: int):
         length, q = self.length, self.q
 
         def run(batches):
-            for raw, ids in _texts(batches):
+            for raw, names in _texts(batches):
                 flat, of, start, stop = _joined(raw)
                 if flat.size < length:
                     continue
@@ -260,17 +275,17 @@ class SubstringDedup:
                 doc = of[at]
                 lo, hi = _extent(at, start[doc], stop[doc], length, q)
                 context = _context(grams, at, lo, hi, q, length)
-                yield from _send(doc, ids, at - start[doc], gram, context, buckets, shift)
+                yield from _send(doc, names, at - start[doc], gram, context, buckets)
 
         return run
 
-    def _half(self, buckets: int, shift: int):
+    def _half(self, buckets: int):
         """Open pointers, by the gram that reaches half of the rest to the left, and to the right."""
         length, q = self.length, self.q
         more = (length - q + 1) // 2
 
         def run(batches):
-            for raw, ids, open_ in _texts(batches, 2):
+            for raw, names, open_ in _texts(batches, "open"):
                 flat, of, start, stop = _joined(raw)
                 if flat.size < q:
                     continue
@@ -281,15 +296,15 @@ class SubstringDedup:
                     fits = (a >= start[doc]) & (a + q + more <= stop[doc])
                     gram = _mix(ids_of[a[fits]] + np.uint64(side) * MIX)
                     # the context tells documents' own pointers apart, so that a class is one document
-                    yield from _send(doc[fits], ids, (at - start[doc])[fits], gram, _mix(ids[doc[fits]].astype(np.uint64) >> np.uint64(shift)).astype(np.uint32), buckets, shift)
+                    yield from _send(doc[fits], names, (at - start[doc])[fits], gram, _mix(names.order[doc[fits]].astype(np.uint64)).astype(np.uint32), buckets)
 
         return run
 
-    def _windows(self, buckets: int, shift: int):
+    def _windows(self, buckets: int):
         length, q = self.length, self.q
 
         def run(batches):
-            for raw, ids, open_ in _texts(batches, 2):
+            for raw, names, open_ in _texts(batches, "open"):
                 flat, of, start, stop = _joined(raw)
                 if flat.size < length:
                     continue
@@ -304,7 +319,7 @@ class SubstringDedup:
                 gram, context = g[w], g[w]
                 for x in later:
                     gram, context = _mix(gram * ODD + g[x]), _mix(context * MIX + g[x] * ODD)
-                yield from _send(doc, ids, w - start[doc], _mix(gram), (context >> np.uint64(32)).astype(np.uint32), buckets, shift)
+                yield from _send(doc, names, w - start[doc], _mix(gram), (context >> np.uint64(32)).astype(np.uint32), buckets)
 
         return run
 
@@ -312,7 +327,7 @@ class SubstringDedup:
         length, q = self.length, self.q
 
         def run(batches):
-            for raw, ids, settled, windows in _texts(batches, 2, 3):
+            for raw, names, settled, windows in _texts(batches, "settled", "windows"):
                 _, _, start, stop = _joined(raw)
                 out = []
                 for text, a, b in zip(raw, settled.to_pylist(), windows.to_pylist(), strict=True):
@@ -326,52 +341,50 @@ class SubstringDedup:
                     out.append((int(gone.sum()), runs, hashlib.sha256(keep).hexdigest(), keep))
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(names.key), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
         return run
 
-    def changed(self, docs: DataFrame) -> tuple[DataFrame, int]:
-        """Of the documents that lose bytes or may: key, n_removed, n_spans, kept_sha256, kept; and the shift of keys."""
+    def changed(self, docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Of the documents that lose bytes or may: key, n_removed, n_spans, kept_sha256, kept; and the table of names if ids repeat."""
         spark = docs.sparkSession
         scratch = Scratch(spark, "substrings")
-        rows, shift = self._keyed(docs)
+        rows, names = self._keyed(docs, scratch)
+        id_columns = rows.columns[:-1]  # key, and rank if ids repeat
         total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         buckets = max(width(spark), int(total * 2 / (self.length - self.q + 2) / POINTERS_PER_BUCKET) + 1)
-        flags = scratch.save(self._flags(rows.mapInArrow(self._first(buckets, shift), SENT), shift, False), "flags")
+        flags = scratch.save(self._flags(rows.mapInArrow(self._first(buckets), SENT), False), "flags")
         per_doc = flags.groupBy(F.col("doc").alias("key")).agg(
             F.collect_list(F.when(F.col("flag") == OPEN, F.col("place"))).alias("open"),
             F.collect_list(F.when(F.col("flag") == SETTLED, F.col("place"))).alias("settled"),
         )
-        held = scratch.save(rows.join(per_doc, "key").select("key", "text", "open", "settled"), "held")
+        held = scratch.save(rows.join(per_doc, "key").select(*id_columns, "text", "open", "settled"), "held")
         scratch.drop("flags")
-        opened = held.filter(F.size("open") > 0).select("key", "text", "open")
-        half = self._flags(opened.mapInArrow(self._half(buckets, shift), SENT), shift, False)
+        opened = held.filter(F.size("open") > 0).select(*id_columns, "text", "open")
+        half = self._flags(opened.mapInArrow(self._half(buckets), SENT), False)
         half = scratch.save(half.groupBy(F.col("doc").alias("key")).agg(F.array_sort(F.collect_set("place")).alias("open")), "half")
-        opened = held.select("key", "text").join(half, "key")
-        windows = self._flags(opened.mapInArrow(self._windows(buckets, shift), SENT), shift, True)
+        opened = held.select(*id_columns, "text").join(half, "key")
+        windows = self._flags(opened.mapInArrow(self._windows(buckets), SENT), True)
         windows = scratch.save(windows.groupBy(F.col("doc").alias("key")).agg(F.collect_list("place").alias("windows")), "windows")
         final = held.select("key", "text", "settled").join(windows, "key", "left")
-        return final.select("key", "text", "settled", "windows").mapInArrow(self._cut(), "key long, n_removed long, n_spans long, kept_sha256 string, kept binary"), shift
+        return final.select("key", "text", "settled", "windows").mapInArrow(self._cut(), "key long, n_removed long, n_spans long, kept_sha256 string, kept binary"), names
 
     def digests(self, docs: DataFrame) -> DataFrame:
         """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256.
 
         Documents without a repeated string are digested where they are read; only the others are shuffled.
         """
-        changed, shift = self.changed(docs)
-        text = F.coalesce(docs[self.text_col].cast("string"), F.lit(""))
-        base = docs.select(docs[self.id_col].alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+        changed, names = self.changed(docs)
         changed = changed.drop("kept")
-        if shift:  # rows of one id: told apart by their texts' order, as in the keys
-            rows, _ = self._keyed(docs)
-            rows = rows.select("key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-            base = rows.withColumn("id", F.shiftright("key", shift)).unionByName(base.filter("id is null").withColumn("key", F.lit(None).cast("long")))
+        text = F.coalesce(docs[self.text_col].cast("string"), F.lit(""))
+        base = docs.select(docs[self.id_col].alias("id"), docs[self.id_col].cast("long").alias("rank"), F.xxhash64(docs[self.text_col].cast("string")).alias("hash"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+        if names is None:
+            out = base.join(changed.withColumnRenamed("key", "rank"), "rank", "left")
         else:
-            base = base.withColumn("key", F.col("id").cast("long"))
-        out = base.join(changed, "key", "left")
+            out = base.join(changed.join(names, "key"), ["rank", "hash"], "left")
         zero = F.lit(0).cast("long")
         return out.select(
-            F.col("id").cast(docs.schema[self.id_col].dataType).alias(self.id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
+            F.col("id").alias(self.id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
         )
 
 

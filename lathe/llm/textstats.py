@@ -40,7 +40,7 @@ class Stats:
 
     @property
     def n_function_words(self) -> int:
-        return len(FUNCTION_WORDS.intersection(w.lower() for w in self.words[:20000])) if self.n_words <= 20000 else len(FUNCTION_WORDS.intersection(map(bytes.lower, set(self.words))))
+        return len(FUNCTION_WORDS.intersection(map(bytes.lower, set(self.words))))
 
     @property
     def n_adjacent(self) -> int:

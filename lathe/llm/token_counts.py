@@ -2,7 +2,8 @@
 
 All distinct pre-tokens of a batch lie in one flat symbol array. In each round every sequence finds
 its own lowest-rank adjacent pair, all sequences apply theirs at once, and the array shrinks; the
-symbols that survive when no sequence has a mergeable pair are its tokens.
+symbols that survive when no sequence has a mergeable pair are its tokens. A very long sequence has
+far more rounds than the others, so it goes by itself, and a round looks up only the pairs it changed.
 
 Null text counts as empty (0 bytes, 0 tokens); empty text has 0 tokens; rows are independent, so
 repeated rows repeat their counts, and other columns are ignored.
@@ -22,6 +23,8 @@ from .scratch import small_batches, spans, table
 NEVER = np.int32(2**31 - 1)
 CACHE_ENTRIES = 300_000
 CHUNK_BYTES = 4 << 20
+#: Bytes from which a pre-token is merged by itself.
+LONG = 512
 
 
 class RankMerger:
@@ -37,8 +40,43 @@ class RankMerger:
         order = np.argsort(key, kind="stable")
         self.key, self.rank, self.made = key[order], order.astype(np.int32), made[order]
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged symbol) of pairs of neighbours."""
+        key = a << 20 | b
+        slot = np.minimum(np.searchsorted(self.key, key), self.key.size - 1)
+        return np.where(self.key[slot] == key, self.rank[slot], NEVER), self.made[slot]
+
+    def count_long(self, word: bytes) -> int:
+        """The number of tokens of one pre-token."""
+        symbol = self.of_byte[np.frombuffer(word, np.uint8)]
+        rank, made = self._ranks(symbol[:-1], symbol[1:])
+        while rank.size and (best := rank.min()) != NEVER:
+            at = np.flatnonzero(rank == best)
+            fresh = np.append(True, np.diff(at) != 1)
+            at = at[(at - at[fresh][np.cumsum(fresh) - 1]) % 2 == 0]
+            symbol[at] = made[at]
+            keep = np.ones(symbol.size, bool)
+            keep[at + 1] = False
+            symbol = symbol[keep]
+            # the pair at i goes with the symbol at i; pairs that start or end at a merged symbol are new
+            rank, made = rank[keep[:-1]], made[keep[:-1]]
+            now = at - np.arange(at.size)
+            rank, made = rank[: symbol.size - 1], made[: symbol.size - 1]
+            new = np.unique(np.concatenate([now - 1, now]))
+            new = new[(new >= 0) & (new < rank.size)]
+            rank[new], made[new] = self._ranks(symbol[new], symbol[new + 1])
+        return symbol.size
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """The number of tokens of each pre-token."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            result = self._counts([w if len(w) <= LONG else b"" for w in words])
+            result[long] = [self.count_long(words[i]) for i in long]
+            return result
+        return self._counts(words)
+
+    def _counts(self, words: list[bytes]) -> np.ndarray:
         size = np.fromiter(map(len, words), np.int64, len(words))
         result = size.copy()
         symbol = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]

@@ -2,13 +2,19 @@
 
 A shard holds the ids of a run of documents in ascending doc_id order, cut into sequences of a fixed
 length: record batches with a fixed-size-list column of ids and one of masks (False where the last
-sequence is padded). All batches but the last hold the same number of sequences, so any sequence is
-found by arithmetic and read in place from a mapped file. A second stream file beside it says where
-each document starts. The manifest, a Parquet table, names the files that count: a task that runs
-twice leaves an extra file that no manifest row names.
-
-Null text is empty and holds only the end id. Rows of equal doc_id follow each other, ordered by
-text; a null doc_id comes first. An empty table gives no shard. Other columns are ignored.
+sequence is padded). All batches but the last hold the same number of sequences and take the same
+number of bytes, so any sequence is found by arithmetic: in place in a mapped file, or by reading one
+batch of a remote one. A second stream file beside it says where each document starts. The manifest, a
+Parquet table, names the files that count: a task that runs twice leaves an extra file that no
+manifest row names.
+
+Files are opened through pyarrow's file systems by a URI that the driver has resolved as Spark's own
+writers would (file, hdfs, viewfs, s3, gs, abfs); of any other scheme the driver says so at once.
+
+Null text is empty and holds only the end id. Rows of equal doc_id follow each other, ordered by a
+hash of their text; a null doc_id comes first. So that rows without an id, or of one id, are dealt
+like others, shards are ranges of (doc_id, hash). A long text is encoded whole, in memory. An empty
+table gives no shard. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +27,17 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .scratch import Scratch, spans, table, width
+from .scratch import Scratch, qualified, spans, table, width
 
 CACHE_ENTRIES = 600_000
 CHUNK_BYTES = 4 << 20
 SEQUENCES = 64
+#: Bytes of a source file, compressed, for one shard at most.
+SHARD_BYTES = 64 << 20
 
 
 class _Pieces(dict):
@@ -74,10 +83,24 @@ def id_type(vocabulary: str) -> np.dtype:
     return np.dtype("<u2") if pretokens.library(vocabulary).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
 
+#: Spark's names of schemes that pyarrow knows by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfs", "abfss": "abfss", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "file": "file"}
+
+
+def reachable(uri: str) -> str:
+    """A qualified URI as pyarrow takes it."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme not in SCHEMES:
+        raise ValueError(f"token files can't be written to {uri}: pyarrow has no file system for it")
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return f"{SCHEMES[scheme]}:{rest}"
+
+
 def filesystem(uri: str):
     from pyarrow import fs
 
-    if "://" in uri or uri.startswith("file:"):
+    if "://" in uri:
         return fs.FileSystem.from_uri(uri)
     return fs.LocalFileSystem(), uri
 
@@ -125,30 +148,45 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Random access to the sequences of one shard; a local file is mapped, not copied."""
+    """Random access to the sequences of one shard; a local file is mapped, of a remote one a batch is read and kept at a time."""
 
     def __init__(self, uri: str):
         system, path = filesystem(uri)
-        source = pa.memory_map(path) if system.type_name == "local" else system.open_input_file(path)
-        self.source = source
-        self.batches = list(pa.ipc.open_stream(source))
+        self.source = pa.memory_map(path) if system.type_name == "local" else system.open_input_file(path)
+        self.size, self.at = self.source.size(), -1
+        self.schema = pa.ipc.open_stream(self.source).schema
+        self.source.seek(0)
+        pa.ipc.read_message(self.source)
+        self.first = self.source.tell()
+        self.length = self.schema.field(0).type.list_size
+        if self.first < self.size - 8:  # eight bytes end a stream
+            pa.ipc.read_message(self.source)
+            self.step = self.source.tell() - self.first
+            self.n_batches = -(-(self.size - 8 - self.first) // self.step)
+        else:
+            self.n_batches = 0
+
+    def batch(self, i: int) -> pa.RecordBatch:
+        if i != self.at:
+            self.source.seek(self.first + i * self.step)
+            self.held, self.at = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema), i
+        return self.held
 
     @property
     def n_sequences(self) -> int:
-        return sum(b.num_rows for b in self.batches)
+        return (self.n_batches - 1) * SEQUENCES + self.batch(self.n_batches - 1).num_rows if self.n_batches else 0
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence i."""
-        batch, row = self.batches[i // SEQUENCES], i % SEQUENCES
+        batch, row = self.batch(i // SEQUENCES), i % SEQUENCES
         return batch.column(0)[row].values.to_numpy(), batch.column(1)[row].values.to_numpy(zero_copy_only=False)
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """n ids from place start of the shard's stream; a view where they lie in one batch."""
-        length = self.batches[0].schema.field(0).type.list_size if self.batches else 1
-        step, parts = SEQUENCES * length, []
+        step, parts = SEQUENCES * self.length, []
         while n:
             at = start % step
-            values = self.batches[start // step].column(0).flatten().to_numpy()[at : at + n]
+            values = self.batch(start // step).column(0).flatten().to_numpy()[at : at + n]
             parts.append(values)
             start, n = start + values.size, n - values.size
         return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.uint16)])
@@ -160,9 +198,11 @@ MANIFEST = "shard int, ids_uri string, index_uri string, n_docs long, n_tokens l
 def write_shards(docs: DataFrame, base: str, vocabulary: str, end_id: int, length: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards under base (a URI that all executors share); one manifest row per shard.
 
-    One range shuffle by id brings the texts into order; each task streams its range into one file.
+    One range shuffle by (id, hash of the text) brings the texts into order; each task streams its range
+    into one file. The number of shards follows from the size of the source, as the plan knows it.
     """
     key_type = pa.int64()
+    base = reachable(qualified(docs.sparkSession, base))
 
     def run(batches):
         from pyspark import TaskContext
@@ -200,8 +240,12 @@ def write_shards(docs: DataFrame, base: str, vocabulary: str, end_id: int, lengt
                 {"shard": pa.array([task.partitionId()], pa.int32()), "ids_uri": [f"{stem}.ids.arrows"], "index_uri": [f"{stem}.index.arrows"], "n_docs": [n_docs], "n_tokens": [writer.n]}
             )
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    parts = rows.repartitionByRange(width(docs.sparkSession), "id").sortWithinPartitions("id", "text")
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # what has no known size counts as endless there
+    n = max(width(docs.sparkSession), -(-size // SHARD_BYTES) if size < 1 << 60 else 0)
+    parts = rows.repartitionByRange(n, "id", "hash").sortWithinPartitions("id", "hash").select("id", "text")
     return parts.mapInArrow(run, MANIFEST)
 
 
