@@ -12,7 +12,7 @@ from lathe.llm.decontaminate import Decontaminator
 from lathe.llm.mixing import TARGETS, labelled_domains, mixed_documents
 from lathe.llm.near_dedup import NearDedup
 from lathe.llm.quality_classifier import good_documents
-from lathe.llm.scratch import Scratch, table
+from lathe.llm.scratch import Scratch, opened, release, table
 from lathe.llm.token_files import encode_corpus
 
 
@@ -32,8 +32,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, some of them repeated, so that expected domain totals match the targets."""
-    return mixed_documents(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGETS)
+    """Documents, some of them repeated, so that expected domain totals match the targets.
+
+    The totals are the least that no domain has to shrink for, so no clean document is lost for the mix.
+    """
+    return mixed_documents(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGETS, "cover")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +57,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last goes through a table in the shared folder."""
+    """All stages over documents; each but the last goes through a table in the shared folder.
+
+    A stage's own tables are deleted once its result is written.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
+        mark = opened()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.save(docs, str(i))
+            release(mark)
             if i:
                 scratch.drop(str(i - 1))
     return docs
