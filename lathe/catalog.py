@@ -30,7 +30,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 def _posts(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns under one id."""
     t = sources.read_table(spark, d, "conversations")
-    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
+    return t.select((F.col("conv_id") * 2**32 + F.col("turn")).alias("row_id"), "text")
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def _tokens(x: str) -> str:
 
 
 DOCS = "docs AS (SELECT doc_id AS row_id, text FROM documents)"
-POSTS = "posts AS (SELECT conv_id * 1000 + turn AS row_id, text FROM conversations)"
+POSTS = "posts AS (SELECT conv_id * 4294967296 + turn AS row_id, text FROM conversations)"
 TERMS = f"""{DOCS},
 clean AS (SELECT row_id, {_clean('text')} AS text FROM docs),
 counts AS (SELECT row_id, term, count(*) AS n FROM (SELECT row_id, unnest({_tokens('text')}) AS term FROM clean) GROUP BY ALL),
@@ -158,17 +158,33 @@ def _(s, d):
     return _docs(s, d).select("row_id", fn.clean_spaced(F.col("text")).alias("clean"))
 
 
-@query("clean_title")
+def _cased(x: str) -> str:
+    """Links, retweet marks, mentions, hash signs and joined capitals, as the cleaners that keep case take them."""
+    x = _re(_re(f"coalesce({x}, '')", rf"https?://{NS_}+|www\.{NS_}+", " "), f"^(?i:rt){S_}+", "")
+    x = _re(_re(x, f"@{W_}+", " "), f"#({W_}+)", r"\1")
+    return _re(x, "([a-z0-9])([A-Z])", r"\1 \2")
+
+
+def _twice_at_most(x: str) -> str:
+    """RE2 has no back-references: a character goes if it equals the two before it."""
+    return f"array_to_string(list_transform(list_filter(list_zip({x}, list_concat([NULL], {x})[1:len({x})], list_concat([NULL, NULL], {x})[1:len({x})]), lambda c: c[1] = chr(10) OR c[1] IS DISTINCT FROM c[2] OR c[1] IS DISTINCT FROM c[3]), lambda c: c[1]), '')"
+
+
+CASED = f"cased AS (SELECT row_id, regexp_extract_all({_cased('text')}, '(?s).') AS c FROM docs)"
+ENTITY = f"cased AS (SELECT row_id, regexp_extract_all({_re(_cased('text'), f'&{W_}+;', ' ')}, '(?s).') AS c FROM docs)"
+
+
+@query("clean_title", f"WITH {DOCS}, {CASED} SELECT row_id, substring({_squeeze(_twice_at_most('c'))}, 1, 4000) AS clean FROM cased")
 def _(s, d):
     return _docs(s, d).select("row_id", fn.clean_title(F.col("text")).alias("clean"))
 
 
-@query("clean_post")
+@query("clean_post", f"WITH {DOCS}, {ENTITY} SELECT row_id, substring({_squeeze(_re(_twice_at_most('c'), '[!-/:-@' + chr(92) + '[-`{-~]', ' '))}, 1, 4000) AS clean FROM cased")
 def _(s, d):
     return _docs(s, d).select("row_id", fn.clean_post(F.col("text")).alias("clean"))
 
 
-_HASH = _re(f"lower({_re(_re(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', f'http{NS_}+|www{NS_}+', ' '), f'@{W_}+', ' ')})", f"&{W_}+;", " ")
+_HASH = _re(f"lower({_re(_re(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', rf'https?://{NS_}+|www\.{NS_}+', ' '), f'@{W_}+', ' ')})", f"&{W_}+;", " ")
 _HASH = f"substring({_squeeze(_re(_HASH, rf'[^\p{{L}}\p{{N}}_{SP}\x{{4E00}}-\x{{9FFF}}]', ' '))}, 1, 1000)"
 
 
@@ -199,9 +215,8 @@ def _(s, d):
     SELECT term, count(*) AS n, count(DISTINCT row_id) AS df FROM g GROUP BY term""",
 )
 def _(s, d):
-    grams = _docs(s, d).select("row_id", F.explode(fn.with_bigrams(fn.analyzer_tokens(fn.clean_joined(F.col("text"))))).alias("term"))
-    per = grams.groupBy("row_id", "term").agg(F.count("*").alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+    words = _docs(s, d).select("row_id", fn.analyzer_tokens(fn.clean_joined(F.col("text"))).alias("words"))
+    return terms.term_frequencies(words, fn.with_bigrams(F.col("words")))
 
 
 @query(
@@ -222,7 +237,7 @@ def _(s, d):
 
 @query(
     "profile",
-    f"""WITH {DOCS}, t AS (SELECT length({_clean('text', ' ')}) AS size, CAST(contains(text, chr(10)) AS INT) AS nl, CAST(regexp_matches(text, 'http|www\\.') AS INT) AS url FROM docs),
+    f"""WITH {DOCS}, t AS (SELECT length({_clean('text', ' ')}) AS size, CAST(contains(text, chr(10)) AS INT) AS nl, CAST(regexp_matches(lower(text), 'http|www\\.') AS INT) AS url FROM docs),
     p AS (SELECT count(*) AS n, CAST(CASE WHEN count(*) FILTER (WHERE size >= 40) >= 50 THEN median(size) FILTER (WHERE size >= 40) ELSE median(size) END AS DOUBLE) AS median_length,
     round(avg(nl), 6) AS line_feeds, round(avg(url), 6) AS links FROM t)
     SELECT *, median_length < 120 AND line_feeds < 0.02 AND links < 0.02 AS is_titles FROM p""",
@@ -261,12 +276,20 @@ def _counts(s, d):
     return terms.words_of(_docs(s, d))
 
 
+def _weighed(s, d, weigh=terms.tfidf):
+    """Weights from counts that are made once, and a vocabulary that is made once."""
+    counts = sources.settled(_counts(s, d))
+    n = _n(s, d)
+    vocabulary = sources.settled(terms.prune(terms.document_frequency(counts), n))
+    return weigh(counts, vocabulary, n)
+
+
 def _vocabulary(s, d):
     return terms.prune(terms.document_frequency(_counts(s, d)), _n(s, d))
 
 
 def _tfidf(s, d):
-    return terms.tfidf(_counts(s, d), _vocabulary(s, d), _n(s, d))
+    return _weighed(s, d)
 
 
 @query("term_counts", f"WITH {TERMS} SELECT row_id, term, n FROM counts")
@@ -310,10 +333,13 @@ def _(s, d):
     SELECT row_id, term, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * n * 4.0 / (n + 3.0 * (0.25 + 0.75 * size / greatest(mean, 1e-9))), 6) AS w FROM j, k, total""",
 )
 def _(s, d):
-    return _round(terms.bm25(_counts(s, d), _vocabulary(s, d), _n(s, d)), "w")
+    return _round(_weighed(s, d, terms.bm25), "w")
 
 
-@query("hashed_counts")
+HASHED = "hashed AS (SELECT row_id, CAST(('0x' || substring(md5(term), 1, 8))::BIGINT % 8192 AS VARCHAR) AS term, CAST(sum(n) AS DOUBLE) AS w FROM counts GROUP BY ALL)"
+
+
+@query("hashed_counts", f"WITH {TERMS}, {HASHED} SELECT row_id, term, w FROM hashed")
 def _(s, d):
     return terms.hashed_counts(_counts(s, d), 8192)
 
@@ -323,6 +349,11 @@ def _(s, d):
     return _round(terms.log_damped(_counts(s, d).select("row_id", "term", F.col("n").cast("double").alias("w"))), "w")
 
 
+@query("bm25_union")
+def _(s, d):
+    return plans.bm25_union(_posts(s, d), _posts(s, d).count(), (20_000, 2, 0.95), (8000, 2, 0.95), 0.35)
+
+
 @query("feature_union", f"WITH {TFIDF} SELECT row_id, 'a:' || term AS term, round(w, 6) AS w FROM tfidf UNION ALL SELECT row_id, 'b:' || term, round(w * 0.35, 6) FROM tfidf")
 def _(s, d):
     w = _tfidf(s, d)
@@ -392,7 +423,15 @@ def _(s, d):
     return vectors.symmetric(vectors.knn(_points(s, d), 12))
 
 
-@query("fuzzy_graph")
+FUZZY = f"""{EMB}, {_knn_sql(12)}, near AS (SELECT src, min(dist) AS rho, list(greatest(dist - (SELECT min(dist) FROM knn k WHERE k.src = knn.src), 0)) AS gaps FROM knn GROUP BY src),
+halved AS (SELECT src, rho, list_reduce(list_concat([{{'lo': 1e-6::DOUBLE, 'hi': 1e3::DOUBLE, 'gaps': gaps}}], list_transform(range(32), lambda i: {{'lo': 0::DOUBLE, 'hi': 0::DOUBLE, 'gaps': gaps}})),
+  lambda s, x: CASE WHEN list_sum(list_transform(s.gaps, lambda g: exp(-g / ((s.lo + s.hi) / 2)))) > log2(12)
+  THEN {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2, 'gaps': s.gaps}} ELSE {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi, 'gaps': s.gaps}} END) AS x FROM near),
+one AS (SELECT knn.src, dst, exp(-greatest(dist - rho, 0) / ((x.lo + x.hi) / 2)) AS w FROM knn JOIN halved ON knn.src = halved.src),
+fuzzy AS (SELECT src, dst, sum(w) - CASE WHEN count(*) > 1 THEN min(w) * max(w) ELSE 0 END AS w FROM (SELECT src, dst, w FROM one UNION ALL SELECT dst, src, w FROM one) GROUP BY src, dst)"""
+
+
+@query("fuzzy_graph", f"WITH {FUZZY} SELECT src, dst, round(w, 6) AS w FROM fuzzy")
 def _(s, d):
     return _round(vectors.fuzzy_graph(vectors.knn(_points(s, d), 12), 12), "w")
 
@@ -410,10 +449,15 @@ def _(s, d):
     return _round(out.select("row_id", F.posexplode("v").alias("i", "x")), "x").withColumn("i", F.col("i").cast("long"))
 
 
-@query("smooth_fuzzy")
+@query(
+    "smooth_fuzzy",
+    f"""WITH {FUZZY}, {FLAT}, near2 AS (SELECT src AS row_id, i, sum(x * w) / sum(w) AS m FROM fuzzy JOIN flat ON dst = flat.row_id GROUP BY src, i),
+    moved AS (SELECT row_id, i, 0.8 * flat.x + 0.2 * m AS x FROM flat JOIN near2 USING (row_id, i)) SELECT row_id, i - 1 AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY row_id)), 6) AS x FROM moved""",
+)
 def _(s, d):
     p = _points(s, d)
-    return vectors.smooth(p, vectors.fuzzy_graph(vectors.knn(p, 12), 12), 0.2, 1)
+    out = vectors.smooth(p, vectors.fuzzy_graph(vectors.knn(p, 12), 12), 0.2, 1)
+    return _round(out.select("row_id", F.posexplode("v").alias("i", "x")), "x").withColumn("i", F.col("i").cast("long"))
 
 
 @query("kth_distance", f"WITH {EMB}, {_knn_sql(12)} SELECT src AS row_id, round(max(dist), 6) AS score FROM knn GROUP BY src")
@@ -421,10 +465,27 @@ def _(s, d):
     return _round(vectors.kth_distance(vectors.knn(_points(s, d), 12)), "score")
 
 
-@query("distance_contrast")
+@query(
+    "distance_contrast",
+    f"""WITH {EMB}, {_knn_sql(12)}, chosen AS (SELECT row_id, v FROM e ORDER BY ('0x' || substring(md5(row_id || ':0'), 1, 8))::BIGINT, row_id LIMIT 1500),
+    u AS (SELECT row_id, generate_subscripts(v, 1) AS i, unnest(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))) AS x FROM chosen),
+    q AS (SELECT sum(s * s) AS q FROM (SELECT sum(x) AS s FROM u GROUP BY i)), n AS (SELECT count(*) AS n FROM chosen)
+    SELECT round(1 - (SELECT avg(dist) FROM knn) / (1 - (q - n) / (n * (n - 1))), 6) AS rel FROM q, n""",
+)
 def _(s, d):
     p = _points(s, d)
-    return vectors.contrast(p, vectors.knn(p, 12))
+    return _round(vectors.contrast(p, vectors.knn(p, 12)), "rel")
+
+
+@query(
+    "k_and_noise",
+    f"""WITH {EMB}, {_knn_sql(12)}, r AS (SELECT avg(dist) AS rel FROM knn), t AS (SELECT least(greatest((rel - 0.1) / 0.22, 0), 1) AS t FROM r)
+    SELECT CAST(round_even(40 + 180 * t, 0) AS BIGINT) AS k, round(0.25 + 0.15 * t, 6) AS noise FROM t""",
+)
+def _(s, d):
+    """The formula, on a contrast that both engines have: the mean distance of neighbours."""
+    rel = vectors.knn(_points(s, d), 12).agg(F.avg("dist")).first()[0]
+    return _round(s.createDataFrame([cluster.k_and_noise(rel)], "k long, noise double"), "noise")
 
 
 @query(
@@ -439,43 +500,59 @@ def _(s, d):
 
 @query("svd")
 def _(s, d):
-    return vectors.truncated_svd(_tfidf(s, d), 16)
+    return vectors.truncated_svd(sources.settled(_tfidf(s, d)), 192)
 
 
-@query("doc_vectors_tfidf")
-def _(s, d):
-    w = _tfidf(s, d)
-    return vectors.pooled(w, _word_vectors(s, d), F.col("w"))
+def _word_vectors(s, d, vocabulary: DataFrame, dim: int = 128):
+    """Vectors of the 2,000 most frequent words, as the presets have them."""
+    top = sources.settled(terms.top_vocabulary(vocabulary, 2000).select("term"))
+    w = sources.settled(terms.ppmi(sources.settled(_cooc(s, d, top))).select(F.col("t1").alias("row_id"), F.col("t2").alias("term"), "w"))
+    return sources.settled(vectors.truncated_svd(w, dim).withColumnRenamed("row_id", "term"))
+
 
+def _pooled(s, d, weight):
+    counts, n = sources.settled(_counts(s, d)), _n(s, d)
+    vocabulary = sources.settled(terms.prune(terms.document_frequency(counts), n))
+    total = float(vocabulary.agg(F.sum("cf")).first()[0] or 1)
+    return vectors.pooled(counts.join(vocabulary.select("term", "df", "cf"), "term"), _word_vectors(s, d, vocabulary), weight(n, total))
 
-def _word_vectors(s, d, dim: int = 16):
-    top = terms.top_vocabulary(_vocabulary(s, d), 1000).select("term").cache()
-    w = terms.ppmi(_cooc(s, d, top)).select(F.col("t1").alias("row_id"), F.col("t2").alias("term"), "w")
-    return vectors.truncated_svd(w, dim).withColumnRenamed("row_id", "term")
+
+@query("doc_vectors_tfidf")
+def _(s, d):
+    return _pooled(s, d, lambda n, total: (1 + F.log("n")) * (F.log((1.0 + n) / (1 + F.col("df"))) + 1))
 
 
 @query("doc_vectors_sif")
 def _(s, d):
-    counts, vocabulary = _counts(s, d), _vocabulary(s, d)
-    total = vocabulary.agg(F.sum("cf").alias("total"))
-    joined = counts.join(vocabulary.select("term", "cf"), "term").crossJoin(F.broadcast(total))
-    return vectors.pooled(joined, _word_vectors(s, d), F.col("n") * 0.001 / (0.001 + F.col("cf") / F.col("total")))
+    return _pooled(s, d, lambda n, total: F.col("n") * 0.001 / (0.001 + F.col("cf") / total))
 
 
 @query("doc_vectors_idf")
 def _(s, d):
-    joined = _counts(s, d).join(_vocabulary(s, d).select("term", "df"), "term")
-    return vectors.pooled(joined, _word_vectors(s, d), F.log(F.lit(float(_n(s, d))) / (1 + F.col("df"))) * F.col("n"))
+    return _pooled(s, d, lambda n, total: F.log(F.lit(float(n)) / (1 + F.col("df"))) * F.col("n"))
 
 
-@query("hashed_projection")
+@query(
+    "hashed_projection",
+    f"""WITH {TERMS}, {HASHED}, damped AS (SELECT row_id, term, ln(1 + w) / sqrt(sum(ln(1 + w) * ln(1 + w)) OVER (PARTITION BY row_id)) AS w FROM hashed),
+    bits AS (SELECT term, i, CASE WHEN (('0x' || substring(md5(term || ':' || (i // 32)), 1, 8))::BIGINT >> (i % 32)) & 1 = 0 THEN 1 ELSE -1 END AS sign
+      FROM (SELECT DISTINCT term FROM hashed), (SELECT unnest(range(48)) AS i))
+    SELECT row_id, i, round(sum(w * sign) / sqrt(48), 6) AS x FROM damped JOIN bits USING (term) GROUP BY row_id, i""",
+)
 def _(s, d):
-    return vectors.random_projection(terms.log_damped(terms.hashed_counts(_counts(s, d), 8192)), 48)
+    out = vectors.random_projection(terms.log_damped(terms.hashed_counts(_counts(s, d), 8192)), 48)
+    return _round(out.select("row_id", F.posexplode("v").alias("i", "x")), "x").withColumn("i", F.col("i").cast("long"))
 
 
-@query("jitter_empty")
+@query(
+    "jitter_empty",
+    f"""WITH {EMB} SELECT row_id, i - 1 AS i, round(CASE WHEN row_id % 50 = 0 THEN 0.001 * ((('0x' || substring(md5(row_id || ':' || (i - 1) || ':5'), 1, 8))::BIGINT % 2001 - 1000) / 1000) ELSE x END, 9) AS x
+    FROM (SELECT row_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e)""",
+)
 def _(s, d):
-    return vectors.jitter_empty(_points(s, d).select("row_id", F.when(F.col("row_id") % 50 == 0, F.transform("v", lambda x: x * 0)).otherwise(F.col("v")).alias("v")))
+    some = _points(s, d).select("row_id", F.when(F.col("row_id") % 50 == 0, F.transform("v", lambda x: x * 0)).otherwise(F.col("v")).alias("v"))
+    out = vectors.jitter_empty(some).select("row_id", F.posexplode("v").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+    return _round(out, "x", places=9)
 
 
 @query("remove_components")
@@ -490,7 +567,7 @@ def _(s, d):
 
 @query("spectral")
 def _(s, d):
-    return vectors.spectral(vectors.symmetric(vectors.knn(_points(s, d), 12)), 8)
+    return vectors.spectral(vectors.symmetric(vectors.knn(_points(s, d), 12)), 32)
 
 
 # --- clustering --------------------------------------------------------------------------------------
@@ -514,18 +591,24 @@ def _(s, d):
 
 @query("linkage_sampled")
 def _(s, d):
+    # a sample that the small fixture exceeds, so that labels are propagated
     return cluster.linkage_labels(_points(s, d), 28, most=200)
 
 
 @query("hdbscan")
 def _(s, d):
-    return cluster.hdbscan_labels(_points(s, d), 10, 5)
+    return cluster.hdbscan_labels(_points(s, d))
 
 
 @query("best_cut")
 def _(s, d):
     p = _points(s, d)
-    return cluster.best_cut(p, vectors.symmetric(vectors.knn(p, 12)), (24, 48))
+    return cluster.best_cut(p, sources.settled(vectors.symmetric(vectors.knn(p, 12))))
+
+
+@query("fallback_clusters")
+def _(s, d):
+    return cluster.fallback(_docs(s, d).select("row_id", fn.clean_spaced(F.col("text")).alias("text")).filter("text <> ''"))
 
 
 PROPAGATE = f"""{EMB}, known AS (SELECT * FROM e WHERE row_id % 3 = 0), rest AS (SELECT * FROM e WHERE row_id % 3 <> 0),
@@ -538,7 +621,7 @@ def _(s, d):
     return cluster.propagate(_points(s, d), _labels(s, d).filter("row_id % 3 = 0"))
 
 
-@query("sample_rows")
+@query("sample_rows", "SELECT vec_id AS row_id FROM embeddings ORDER BY ('0x' || substring(md5(vec_id || ':0'), 1, 8))::BIGINT, vec_id LIMIT 100")
 def _(s, d):
     return cluster.sample_rows(_points(s, d), 100).select("row_id")
 
@@ -562,6 +645,11 @@ def _(s, d):
     return _round(labels.nearest(p, labels.centroids(p, _labels(s, d))), "sim")
 
 
+@query("refine_clusters", f"WITH {ASSIGN} SELECT row_id, label FROM best")
+def _(s, d):
+    return labels.refine(_points(s, d), _labels(s, d), 1)
+
+
 @query("small_clusters", "WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT vec_id AS row_id, CAST(CASE WHEN n < 50 THEN -1 ELSE label END AS BIGINT) AS label FROM embeddings JOIN n USING (label)")
 def _(s, d):
     return labels.small_clusters(_points(s, d), _labels(s, d), 50, "noise")
@@ -588,6 +676,16 @@ def _(s, d):
     return labels.reassign_small(_points(s, d), _skewed(s, d), 5, 0.2)
 
 
+@query(
+    "small_reassigned",
+    f"""WITH {EMB0}, {SKEW}, n AS (SELECT label, count(*) AS n FROM sk GROUP BY label), e AS (SELECT sk.* FROM sk JOIN n USING (label) WHERE n >= 5), {CENT},
+    sims AS (SELECT sk.row_id, cvec.label, round(list_dot_product(v, c) / sqrt(list_dot_product(v, v)), 12) AS sim FROM (SELECT sk.* FROM sk JOIN n USING (label) WHERE n < 5) sk, cvec)
+    SELECT row_id, label FROM e UNION ALL SELECT row_id, label FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY sim DESC, label) AS r FROM sims) WHERE r = 1""",
+)
+def _(s, d):
+    return labels.small_clusters(_points(s, d), _skewed(s, d), 5, "reassign")
+
+
 @query(
     "merge_mutual",
     f"""WITH {EMB}, {CENT}, p AS (SELECT a.label AS a, b.label AS b, round(list_dot_product(a.c, b.c), 12) AS sim FROM cvec a JOIN cvec b ON a.label <> b.label),
@@ -599,14 +697,19 @@ def _(s, d):
     return labels.merge_mutual(_points(s, d), _labels(s, d), 0.1, 10**9, 1)
 
 
-@query("merge_most_similar")
+@query(
+    "merge_most_similar",
+    f"""WITH {TERMS}, lab AS (SELECT row_id, row_id % 12 AS label FROM docs), few AS (SELECT row_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_id) AS r FROM lab) WHERE r <= 80),
+    lc AS (SELECT label, term, sum(n) AS n FROM counts JOIN few USING (row_id) GROUP BY ALL), top AS (SELECT term, count(*) AS df, sum(n) AS cf FROM lc GROUP BY term ORDER BY cf DESC, term LIMIT 4000),
+    raw2 AS (SELECT label, term, n * (ln((1.0 + (SELECT count(DISTINCT label) FROM lc)) / (1 + df)) + 1) AS w FROM lc JOIN top USING (term)),
+    unit AS (SELECT label, term, w / sqrt(sum(w * w) OVER (PARTITION BY label)) AS w FROM raw2),
+    best AS (SELECT a.label AS a, b.label AS b, round(sum(a.w * b.w), 12) AS sim FROM unit a JOIN unit b ON a.term = b.term AND a.label < b.label GROUP BY ALL ORDER BY sim DESC, a.label, b.label LIMIT 1)
+    SELECT row_id, CASE WHEN label = (SELECT b FROM best WHERE sim >= 0.2) THEN (SELECT a FROM best) ELSE label END AS label FROM lab""",
+)
 def _(s, d):
-    docs = sources.read_table(s, d, "documents")
-    found = docs.select(F.col("doc_id").alias("row_id"), F.pmod(F.xxhash64("source"), F.lit(12)).alias("label"))
-    joined = _counts(s, d).join(found, "row_id").groupBy("label", "term").agg(F.sum("n").alias("n")).withColumnRenamed("label", "row_id")
-    n = 12
-    weights = terms.tfidf(joined, terms.document_frequency(joined).filter("df > 1").orderBy(F.desc("cf"), "term").limit(4000), n)
-    return labels.merge_most_similar(weights, found)
+    docs = _docs(s, d)
+    found = docs.select("row_id", (F.col("row_id") % 12).alias("label"))
+    return labels.merge_most_similar(labels.cluster_weights(docs, found, fn.analyzer_tokens(fn.clean_joined(F.col("text")))), found, 0.2)
 
 
 OUT = f"""{EMB}, {_knn_sql(12)}, k AS (SELECT src AS row_id, max(dist) AS score FROM knn GROUP BY src)"""
@@ -656,6 +759,27 @@ def _(s, d):
     return labels.noise_policy(p, _noisy(s, d), vectors.kth_distance(vectors.knn(p, 12)), "graded")
 
 
+@query(
+    "extra_noise",
+    f"""WITH {OUT}, x AS (SELECT row_id, {NOISY} AS label FROM e), r AS (SELECT x.row_id, row_number() OVER (ORDER BY score DESC, x.row_id) AS r FROM x JOIN k ON x.row_id = k.row_id WHERE label <> -1 AND x.row_id % 7 <> 0)
+    SELECT x.row_id, CAST(CASE WHEN r <= floor(0.1 * (SELECT count(*) FROM x)) THEN -1 ELSE label END AS BIGINT) AS label FROM x LEFT JOIN r USING (row_id)""",
+)
+def _(s, d):
+    p = _points(s, d)
+    return labels.extra_noise(_noisy(s, d), vectors.kth_distance(vectors.knn(p, 12)), 0.1, p.filter("row_id % 7 = 0"))
+
+
+@query(
+    "reclaim_noise",
+    f"""WITH {EMB0}, e AS (SELECT * FROM e0 WHERE row_id % 5 <> 0), {CENT},
+    sims AS (SELECT row_id, cvec.label, round(list_dot_product(v, c) / sqrt(list_dot_product(v, v)), 12) AS sim FROM (SELECT * FROM e0 WHERE row_id % 5 = 0), cvec),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY sim DESC, label) AS r FROM sims) WHERE r = 1)
+    SELECT row_id, label FROM e UNION ALL SELECT row_id, CAST(CASE WHEN sim >= 0.25 THEN label ELSE -1 END AS BIGINT) FROM best""",
+)
+def _(s, d):
+    return labels.reclaim(_points(s, d), _noisy(s, d), 0.25)
+
+
 @query(
     "script_merge",
     """WITH x AS (SELECT doc_id AS row_id, doc_id % 10 AS label, CASE WHEN lang = 'fr' AND doc_id % 10 < 5 THEN 1 WHEN lang = 'de' THEN 2 ELSE 0 END AS script FROM documents),
@@ -679,7 +803,7 @@ w AS (SELECT key, label AS target FROM v WHERE key IN (SELECT key FROM x GROUP B
 @query("prefix_vote", f"WITH {VOTE} SELECT row_id, coalesce(target, label) AS label FROM x LEFT JOIN w ON x.key = w.key")
 def _(s, d):
     docs = _docs(s, d)
-    keys = docs.select("row_id", fn.prefix_key(fn.clean_spaced(F.col("text"))).alias("key"))
+    keys = sources.settled(docs.select("row_id", fn.prefix_key(fn.clean_spaced(F.col("text"))).alias("key")))
     return labels.vote(docs.select("row_id", (F.col("row_id") % 5 - 1).alias("label")), keys)
 
 
@@ -741,9 +865,21 @@ def _(s, d):
 
 @query("pipeline_b")
 def _(s, d):
-    return sources.aligned_labels(plans.preset_b(_posts(s, d), lsa=32, ppmi=16), "label")
+    return sources.aligned_labels(plans.preset_b(_posts(s, d)), "label")
 
 
 @query("pipeline_c")
 def _(s, d):
-    return sources.aligned_labels(plans.preset_c(_posts(s, d), lsa=32), "label")
+    return sources.aligned_labels(plans.preset_c(_posts(s, d)), "label")
+
+
+@query("pipeline_b_titles")
+def _(s, d):
+    """The path for titles, whatever the profile says of the posts."""
+    return sources.aligned_labels(plans.preset_b(_posts(s, d), titles=True), "label")
+
+
+@query("pipeline_large")
+def _(s, d):
+    """The path for large batches, over all documents."""
+    return sources.aligned_labels(plans.preset_b(_docs(s, d), large=0), "label")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 W = r"[\p{L}\p{N}_]"
 SPACE = r"\s\p{Z}\x1c-\x1f\x85"
 S, NS = f"[{SPACE}]", f"[^{SPACE}]"
+#: Links, as the lower-casing cleaners know them, and as those that keep case do.
 URL = f"http{NS}+|www{NS}+"
+LINK = rf"https?://{NS}+|www\.{NS}+"
 #: Stop words of this package, used by the engine and its oracles.
 STOP_WORDS = (
     "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had "
@@ -47,7 +49,7 @@ def clean_spaced(text: Column) -> Column:
 
 def clean_title(text: Column) -> Column:
     """Case kept; links, retweet marks, mentions and hash signs go, joined capitals are split, long repeats cut to two."""
-    x = _sub(F.coalesce(text, F.lit("")), f"(?i){URL}", " ")
+    x = _sub(F.coalesce(text, F.lit("")), LINK, " ")
     x = _sub(x, f"(?i)^rt{S}+", "")
     x = _sub(_sub(x, f"@{W}+", " "), f"#({W}+)", "$1")
     x = _sub(x, "(?<=[a-z0-9])(?=[A-Z])", " ")
@@ -56,7 +58,7 @@ def clean_title(text: Column) -> Column:
 
 def clean_post(text: Column, keep_case: bool = True) -> Column:
     """As clean_title, also without character entities and ASCII punctuation."""
-    x = _sub(F.coalesce(text, F.lit("")), f"(?i){URL}", " ")
+    x = _sub(F.coalesce(text, F.lit("")), LINK, " ")
     x = _sub(x, f"(?i)^rt{S}+", "")
     x = _sub(_sub(x, f"@{W}+", " "), f"#({W}+)", "$1")
     x = _sub(x, "(?<=[a-z0-9])(?=[A-Z])", " ")
@@ -67,7 +69,7 @@ def clean_post(text: Column, keep_case: bool = True) -> Column:
 
 def clean_hash(text: Column) -> Column:
     """For hashed features: lower case, without links, mentions and entities; word characters and CJK stay; cut at 1000."""
-    x = _sub(F.coalesce(text, F.lit("")), URL, " ")
+    x = _sub(F.coalesce(text, F.lit("")), LINK, " ")
     x = F.lower(_sub(x, f"@{W}+", " "))
     x = _sub(_sub(x, f"&{W}+;", " "), rf"[^\p{{L}}\p{{N}}_{SPACE}\x{{4E00}}-\x{{9FFF}}]", " ")
     return F.substring(squeeze(x), 1, 1000)
@@ -85,7 +87,13 @@ def word_tokens(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
+def digest(*parts: Column) -> Column:
+    """32 bits of a hash that every SQL engine has."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
+
+
 def with_bigrams(words: Column) -> Column:
+    """words: a column of a table, not an expression, which would be worked out once for each mention."""
     n = F.greatest(F.size(words) - 1, F.lit(0))
     return F.concat(words, F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
 

@@ -11,11 +11,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import functions as fn
 from ..sources import settled
-from .vectors import knn, modularity
+from . import terms
+from .vectors import knn, matrix, modularity, truncated_svd
 
-#: Rows that average linkage and density clustering hold at once; larger batches are sampled first.
+#: Rows that average linkage holds at once, and density clustering; larger batches are sampled first.
 MAX_DENSE = 6000
+MAX_DENSITY = 8000
 
 
 def k_for(n: int) -> int:
@@ -87,42 +90,55 @@ def cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
-def _dense(points: DataFrame, labels_of) -> DataFrame:
-    """One group of at most MAX_DENSE rows, in one task."""
+def _dense(points: DataFrame, labels_of, cuts: tuple[int, ...] = (0,)) -> DataFrame:
+    """(row_id, k, label): one group of a bounded number of rows, in one task; labels_of gives one labelling for each cut."""
 
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("row_id").to_numpy()
         order = np.argsort(ids)
-        x = np.array(t.column("v").to_pylist(), float)[order]
-        return pa.table({"row_id": ids[order], "label": np.asarray(labels_of(x), np.int64)})
+        found = labels_of(matrix(t.column("v"))[order])
+        return pa.table({"row_id": np.tile(ids[order], len(cuts)), "k": np.repeat(np.array(cuts, np.int32), len(ids)), "label": np.concatenate(found).astype(np.int64)})
 
-    return points.select("row_id", "v", F.lit(0).alias("g")).groupBy("g").applyInArrow(lambda t: run(t), "row_id long, label long")
+    return points.select("row_id", "v", F.lit(0).alias("g")).groupBy("g").applyInArrow(lambda t: run(t), "row_id long, k int, label long")
 
 
 def sample_rows(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k rows by the order of a hash: the same ones whatever the partitions."""
-    return points.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(k)
+    return points.orderBy(fn.digest(F.col("row_id"), F.lit(seed)), "row_id").limit(k)
 
 
 def propagate(points: DataFrame, labelled: DataFrame, k: int = 5) -> DataFrame:
     """Rows without a label take the most frequent one of their k nearest labelled rows; the lesser wins ties."""
-    known = points.join(labelled, "row_id").select("row_id", "v")
-    rest = points.join(labelled, "row_id", "left_anti")
-    near = knn(known, k, queries=rest).join(labelled.select(F.col("row_id").alias("dst"), "label"), "dst")
-    counts = near.groupBy("src", "label").agg(F.count("*").alias("n"))
-    best = counts.groupBy("src").agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("b"))
-    return labelled.unionByName(best.select(F.col("src").alias("row_id"), (-F.col("b.neg")).alias("label")))
+    return propagate_cuts(points, labelled.withColumn("k", F.lit(0)), k).select("row_id", "label")
 
 
-def linkage_labels(points: DataFrame, k: int, most: int = MAX_DENSE) -> DataFrame:
-    """Average linkage cut at k; above `most` rows, of a sample whose labels are propagated."""
+def propagate_cuts(points: DataFrame, labelled: DataFrame, k: int = 5) -> DataFrame:
+    """propagate for several labellings (row_id, k, label) of the same rows, with one search for neighbours."""
+    ids = labelled.select("row_id").distinct()
+    known = points.join(ids, "row_id", "left_semi").select("row_id", "v")
+    rest = points.join(ids, "row_id", "left_anti")
+    near = knn(known, k, queries=rest).join(labelled.select(F.col("row_id").alias("dst"), "k", "label"), "dst")
+    counts = near.groupBy("src", "k", "label").agg(F.count("*").alias("n"))
+    best = counts.groupBy("src", "k").agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("b"))
+    return labelled.select("row_id", "k", "label").unionByName(best.select(F.col("src").alias("row_id"), "k", (-F.col("b.neg")).alias("label")))
+
 
-    def of(x: np.ndarray) -> np.ndarray:
-        return cut(average_linkage(x), len(x), min(k, len(x)))
+def linkage_cuts(points: DataFrame, cuts: tuple[int, ...], most: int = MAX_DENSE) -> DataFrame:
+    """(row_id, k, label): cuts of one tree of average linkage; above `most` rows, of a sample whose labels are propagated."""
+
+    def of(x: np.ndarray) -> list[np.ndarray]:
+        merges = average_linkage(x)
+        return [cut(merges, len(x), min(k, len(x))) for k in cuts]
 
     if points.count() <= most:
-        return _dense(points, of)
-    return propagate(points, _dense(sample_rows(points, most), of))
+        return _dense(points, of, cuts)
+    found = settled(_dense(sample_rows(points, most), of, cuts))
+    return propagate_cuts(points, found)
+
+
+def linkage_labels(points: DataFrame, k: int, most: int = MAX_DENSE) -> DataFrame:
+    """Average linkage cut at k."""
+    return linkage_cuts(points, (k,), most).select("row_id", "label")
 
 
 def hdbscan(x: np.ndarray, min_cluster_size: int = 25, min_samples: int = 15) -> np.ndarray:
@@ -130,9 +146,14 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 25, min_samples: int = 15) ->
     n = len(x)
     if n <= min_cluster_size:
         return np.full(n, -1)
-    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T, 0))
-    core = np.partition(d, min(min_samples, n - 1), axis=1)[:, min(min_samples, n - 1)]
-    reach = np.maximum(np.maximum(d, core[:, None]), core)
+    square = (x * x).sum(1)
+    reach = x @ x.T  # one matrix, changed in place: distances, then mutual reachability
+    reach *= -2
+    reach += square[:, None]
+    reach += square
+    np.sqrt(np.maximum(reach, 0, out=reach), out=reach)
+    core = np.array([np.partition(r, min(min_samples, n - 1))[min(min_samples, n - 1)] for r in reach])
+    np.maximum(np.maximum(reach, core[:, None], out=reach), core, out=reach)
     best, source, inside = reach[0].copy(), np.zeros(n, int), np.zeros(n, bool)
     inside[0] = True
     edges = []
@@ -216,22 +237,38 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 25, min_samples: int = 15) ->
     return out
 
 
-def hdbscan_labels(points: DataFrame, min_cluster_size: int = 25, min_samples: int = 15, most: int = MAX_DENSE) -> DataFrame:
-    def of(x: np.ndarray) -> np.ndarray:
-        return hdbscan(x, min_cluster_size, min_samples)
+def hdbscan_labels(points: DataFrame, min_cluster_size: int = 25, min_samples: int = 15, most: int = MAX_DENSITY) -> DataFrame:
+    def of(x: np.ndarray) -> list[np.ndarray]:
+        return [hdbscan(x, min_cluster_size, min_samples)]
 
     if points.count() <= most:
-        return _dense(points, of)
-    return propagate(points, _dense(sample_rows(points, most), of))
+        return _dense(points, of).select("row_id", "label")
+    return propagate(points, settled(_dense(sample_rows(points, most), of).select("row_id", "label")))
 
 
 CANDIDATES = (24, 32, 40, 48, 60, 75, 95, 120)
 
 
 def best_cut(points: DataFrame, edges: DataFrame, candidates: tuple[int, ...] = CANDIDATES) -> DataFrame:
-    """Average linkage at the number of clusters of the highest modularity; the lesser number wins ties."""
+    """Average linkage at the number of clusters of the highest modularity; the lesser number wins ties.
+
+    One tree gives all cuts, and one job scores them.
+    """
     n = points.count()
-    tried = [k for k in candidates if k < n] or sorted({max(2, n // d) for d in (25, 10, 4)})
-    runs = [(k, settled(linkage_labels(points, k))) for k in tried]
-    scores = [(round(modularity(edges, labels).first()[0] or 0.0, 12), -k, labels) for k, labels in runs]
-    return max(scores, key=lambda s: s[:2])[2]
+    tried = tuple(k for k in candidates if k < n) or tuple(sorted({max(2, n // d) for d in (25, 10, 4)}))
+    cuts = settled(linkage_cuts(points, tried))
+    score = modularity(edges, cuts, "k").select("k", F.round(F.coalesce("modularity", F.lit(0.0)), 12).alias("m"))
+    best = score.agg(F.max(F.struct("m", (-F.col("k")).alias("neg"))).alias("b")).first()["b"]
+    return cuts.filter(F.col("k") == -best["neg"]).select("row_id", "label")
+
+
+def fallback(full: DataFrame, rank: int = 192) -> DataFrame:
+    """(row_id, label): k-means of TF-IDF directions, for callers who want labels whatever happens. full: (row_id, text)."""
+    n = full.count()
+    counts = settled(terms.bigram_counts(full, fn.analyzer_tokens(F.col("text"))))
+    vocabulary = terms.top_vocabulary(terms.prune(terms.document_frequency(counts), n, 1, 1.0), 60_000)
+    weights = settled(terms.tfidf(counts, vocabulary, n, True))
+    if weights.isEmpty():
+        return full.select("row_id", F.lit(0).cast("long").alias("label"))
+    points = truncated_svd(weights, max(1, min(rank, n - 1)))
+    return kmeans(points, max(2, min(60, n // 40)), (0,))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..sources import settled
-from .vectors import dot, mean_vectors, unit
+from . import terms
+from .vectors import dot, knn, mean_vectors, unit
 
 NOISE = -1
 FIRST_SINGLETON = 1_000_000
@@ -24,14 +25,16 @@ def centroids(points: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """(row_id, label, sim): the most similar centre; ties go to the lesser label.
+    """(row_id, label, sim): the most similar centre; ties go to the lesser label. By block products, as for neighbours."""
+    found = knn(centres.select(F.col("label").alias("row_id"), F.col("c").alias("v")), 1, queries=points.select("row_id", "v"))
+    return found.select(F.col("src").alias("row_id"), F.col("dst").alias("label"), (1 - F.col("dist")).alias("sim"))
 
-    Centres are clusters, not rows; they meet the points in a nested loop for which Spark picks the side.
-    """
-    sim = F.round(dot(F.col("v"), F.col("c")), 12)
-    scored = points.select("row_id", unit(F.col("v")).alias("v")).crossJoin(centres).select("row_id", "label", sim.alias("sim"))
-    best = F.max(F.struct("sim", (-F.col("label")).alias("neg")))
-    return scored.groupBy("row_id").agg(best.alias("b")).select("row_id", (-F.col("b.neg")).alias("label"), F.col("b.sim").alias("sim"))
+
+def refine(points: DataFrame, labels: DataFrame, rounds: int = 2) -> DataFrame:
+    """Every row to the nearest centre of the clusters as they are; centres are made anew in each round."""
+    for _ in range(rounds):
+        labels = settled(nearest(points, centroids(points, labels)).select("row_id", "label"))
+    return labels
 
 
 def small_clusters(points: DataFrame, labels: DataFrame, least: int, mode: str = "noise") -> DataFrame:
@@ -64,11 +67,11 @@ def merge_mutual(points: DataFrame, labels: DataFrame, similarity: float = 0.85,
     for _ in range(rounds):
         small = sizes(labels).filter((F.col("n") <= max_size) & (F.col("label") != NOISE))
         c = centroids(points, labels).join(small.select("label"), "label", "left_semi")
-        a, b = c.select(F.col("label").alias("a"), F.col("c").alias("ca")), c.select(F.col("label").alias("b"), F.col("c").alias("cb"))
-        pair = a.join(b, F.col("a") != F.col("b")).select("a", "b", F.round(dot(F.col("ca"), F.col("cb")), 12).alias("sim"))
-        best = pair.groupBy("a").agg(F.max(F.struct("sim", (-F.col("b")).alias("neg"))).alias("x")).select("a", (-F.col("x.neg")).alias("b"), F.col("x.sim").alias("sim"))
+        best = settled(knn(settled(c.select(F.col("label").alias("row_id"), F.col("c").alias("v"))), 1).select(F.col("src").alias("a"), F.col("dst").alias("b"), (1 - F.col("dist")).alias("sim")))
         back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        merged = best.join(back, ["a", "b"]).filter((F.col("sim") >= similarity) & (F.col("a") > F.col("b"))).select(F.col("a").alias("label"), F.col("b").alias("to"))
+        merged = settled(best.join(back, ["a", "b"]).filter((F.col("sim") >= similarity) & (F.col("a") > F.col("b"))).select(F.col("a").alias("label"), F.col("b").alias("to")))
+        if merged.isEmpty():
+            break
         labels = settled(labels.join(merged, "label", "left").select("row_id", F.coalesce("to", "label").alias("label")))
     return labels
 
@@ -119,6 +122,35 @@ def combined_score(points: DataFrame, labels: DataFrame, kth: DataFrame) -> Data
     return joined.select("row_id", (F.col("score") + F.coalesce(1 - dot(unit(F.col("v")), F.col("c")), F.lit(1.0))).alias("score"))
 
 
+def cluster_weights(batch: DataFrame, labels: DataFrame, words: Column, per_cluster: int = 80, top: int = 4000) -> DataFrame:
+    """Term weights of clusters for merge_most_similar, from the first `per_cluster` rows of each, as their definition has it."""
+    first = F.row_number().over(Window.partitionBy("label").orderBy("row_id"))
+    rows = batch.join(labels.withColumn("nth", first).filter(F.col("nth") <= per_cluster).select("row_id", "label"), "row_id")
+    counts = settled(terms.term_counts(rows.select(F.col("label").alias("row_id"), "text"), words))
+    n = counts.select("row_id").distinct().count()
+    return terms.tfidf(counts, terms.top_vocabulary(terms.document_frequency(counts), top), n)
+
+
+def extra_noise(labels: DataFrame, scores: DataFrame, share: float, exempt: DataFrame | None = None) -> DataFrame:
+    """The int(n share) rows of the highest score, of those not noise yet nor exempt (row_id), become noise."""
+    n = int(labels.count() * share + 1e-9)
+    if not n:
+        return labels
+    able = labels.filter(F.col("label") != NOISE).join(scores, "row_id")
+    if exempt is not None:
+        able = able.join(exempt.select("row_id"), "row_id", "left_anti")
+    hit = able.orderBy(F.desc("score"), "row_id").limit(n).select("row_id", F.lit(NOISE).cast("long").alias("to"))
+    return labels.join(hit, "row_id", "left").select("row_id", F.coalesce("to", "label").alias("label"))
+
+
+def reclaim(points: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Noise rows go to the nearest centre if they are similar enough; 0 turns this off."""
+    if similarity <= 0:
+        return labels
+    noise, rest = labels.filter(F.col("label") == NOISE), labels.filter(F.col("label") != NOISE)
+    return _moved(points, noise, rest, F.col("sim") >= similarity).unionByName(rest)
+
+
 def noise_policy(points: DataFrame, labels: DataFrame, scores: DataFrame, mode: str = "singleton", bucket: float = 0.5) -> DataFrame:
     """Noise rows go to the nearest centre (none), become singletons, are graded (the worst share one bucket), or share one."""
     noise, rest = labels.filter(F.col("label") == NOISE), labels.filter(F.col("label") != NOISE)

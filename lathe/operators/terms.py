@@ -10,10 +10,26 @@ from .. import functions as fn
 
 
 def term_counts(batch: DataFrame, terms: Column) -> DataFrame:
-    """(row_id, term, n). The explode feeds a partial aggregation, so what is shuffled is distinct pairs."""
+    """(row_id, term, n). The explode feeds a partial aggregation, so what is shuffled is distinct pairs.
+
+    terms: an expression that mentions its words once, as it is worked out where the rows are exploded.
+    """
     return batch.select("row_id", F.explode(terms).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("n"))
 
 
+def bigram_counts(batch: DataFrame, words: Column) -> DataFrame:
+    """term_counts of words and pairs of neighbours; words become a column first, and are made once."""
+    return term_counts(batch.select("row_id", words.alias("words")), fn.with_bigrams(F.col("words")))
+
+
+def term_frequencies(batch: DataFrame, terms: Column) -> DataFrame:
+    """(term, n, df) in one shuffle: each row sends its terms, and its distinct terms, to one aggregation by term."""
+    rows = batch.select(terms.alias("terms"))
+    said = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df")))
+    held = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df")))
+    return rows.select(F.inline(F.concat(said, held))).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
@@ -59,8 +75,8 @@ def bm25(counts: DataFrame, vocabulary: DataFrame, n_docs: int, k1: float = 3.0,
 
 
 def hashed_counts(counts: DataFrame, buckets: int) -> DataFrame:
-    """Counts by a hash of the term (OURS: xxhash64, as the tables that fix a hash are not available)."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("string")
+    """Counts by a hash of the term (OURS, as the tables that fix a hash are not available)."""
+    bucket = (fn.digest(F.col("term")) % buckets).cast("string")
     return counts.groupBy("row_id", bucket.alias("term")).agg(F.sum("n").cast("double").alias("w"))
 
 
@@ -81,8 +97,8 @@ def window_cooccurrence(batch: DataFrame, words: Column, width: int = 6, among:
     """(t1, t2, n) over pairs at most `width` apart, both ways.
 
     Pairs are made inside a row, not by a self-join, and counted once in alphabetical order, so that one
-    shuffle serves both directions. among: (term), a vocabulary that the caller has limited; pairs with
-    other terms are dropped before they are counted.
+    shuffle serves both directions. among: (term), a vocabulary that is broadcast if Spark knows it to be
+    small; pairs with other terms are dropped before they are counted.
     """
     rows = batch.select("row_id", words.alias("words")).filter(F.size("words") > 1)
     at = F.sequence(F.lit(0), F.size("words") - 2)
@@ -90,7 +106,7 @@ def window_cooccurrence(batch: DataFrame, words: Column, width: int = 6, among:
     one = rows.select(F.inline(pairs))
     if among is not None:
         for side in ("t1", "t2"):
-            one = one.join(F.broadcast(among.select(F.col("term").alias(side))), side, "left_semi")
+            one = one.join(among.select(F.col("term").alias(side)), side, "left_semi")
     one = one.select(F.least("t1", "t2").alias("a"), F.greatest("t1", "t2").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     both = F.array(F.struct(F.col("a").alias("t1"), F.col("b").alias("t2")), F.struct(F.col("b").alias("t1"), F.col("a").alias("t2")))
     same = F.array(F.struct(F.col("a").alias("t1"), F.col("b").alias("t2")))

@@ -4,14 +4,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .. import functions as fn
+from ..sources import settled
+
 #: Rows of one side of a block product, so that a task holds a bounded matrix.
 BLOCK = 4096
-#: Terms of a vocabulary, or rows of a batch's graph, that one dense matrix may have.
-MAX_TERMS = 100_000
+#: Bytes of one dense matrix over the terms of a vocabulary, or the rows of a batch's graph, and its terms,
+#: that the driver and every task may hold; what has more stays distributed.
+DENSE_BYTES = 256 << 20
+MAX_TERMS = 500_000
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of equal length as one array."""
+    n = len(column)
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return np.array(flat.to_numpy(zero_copy_only=False), float).reshape(n, -1) if n else np.zeros((0, 0))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,8 +33,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))
+    """v at length 1; zeros stay. The length is bound by an outer lambda, so that it is worked out once and not for each element."""
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x)))[0]
 
 
 def knn(points: DataFrame, k: int, metric: str = "cosine", queries: DataFrame | None = None, self_too: bool = False) -> DataFrame:
@@ -40,7 +54,7 @@ def knn(points: DataFrame, k: int, metric: str = "cosine", queries: DataFrame |
         qi, pi = (t.column("id").to_numpy() for t in (left, right))
         out = {"src": [], "dst": [], "dist": []}
         if len(qi) and len(pi):
-            a, b = (np.array(t.column("v").to_pylist(), float) for t in (left, right))
+            a, b = (matrix(t.column("v")) for t in (left, right))
             if metric == "cosine":
                 a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
                 dist = 1 - a @ b.T
@@ -49,8 +63,10 @@ def knn(points: DataFrame, k: int, metric: str = "cosine", queries: DataFrame |
             if same and not self_too:
                 dist[qi[:, None] == pi] = np.inf
             dist = np.round(dist, 12)
+            last = np.partition(dist, k - 1, axis=1)[:, k - 1] if k < dist.shape[1] else np.full(len(qi), np.inf)
             for i in range(len(qi)):
-                order = np.lexsort((pi, dist[i]))[:k]
+                order = np.flatnonzero(dist[i] <= last[i])
+                order = order[np.lexsort((pi[order], dist[i][order]))][:k]
                 order = order[np.isfinite(dist[i][order])]
                 out["src"].append(np.full(order.size, qi[i]))
                 out["dst"].append(pi[order])
@@ -92,11 +108,10 @@ def fuzzy_graph(edges: DataFrame, k: int) -> DataFrame:
     return a.select("src", "dst", (F.col("s") - F.col("p")).alias("w"))
 
 
-def mean_vectors(rows: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
-    """Weighted mean of v by key, element by element; partial sums are made before the shuffle."""
-    w = F.lit(1.0) if weight is None else weight
-    flat = rows.select(key, w.alias("w"), F.posexplode("v").alias("i", "x")).groupBy(key, "i").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"))
-    return flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+def mean_vectors(rows: DataFrame, key: str, weight: Column | None = None, total: bool = False) -> DataFrame:
+    """Weighted mean (or total) of v by key: one vector aggregate, with partial sums before the shuffle."""
+    rows = rows.select(key, array_to_vector("v").alias("x"), (F.lit(1.0) if weight is None else weight).alias("w"))
+    return rows.groupBy(key).agg(vector_to_array((Summarizer.sum if total else Summarizer.mean)(F.col("x"), F.col("w"))).alias("v"))
 
 
 def smooth(points: DataFrame, edges: DataFrame, alpha: float = 0.2, rounds: int = 1) -> DataFrame:
@@ -117,21 +132,25 @@ def kth_distance(edges: DataFrame) -> DataFrame:
 
 def contrast(points: DataFrame, edges: DataFrame, sample: int = 1500) -> DataFrame:
     """OURS: 1 - mean neighbour distance / mean distance of pairs in a sample that is fixed by a hash."""
-    chosen = points.orderBy(F.xxhash64("row_id", F.lit(0))).limit(sample).select("row_id", unit(F.col("v")).alias("v"))
-    # the mean over all pairs of unit vectors follows from the length of their sum
+    chosen = points.orderBy(fn.digest(F.col("row_id"), F.lit(0)), "row_id").limit(sample).select("row_id", unit(F.col("v")).alias("v"))
+    # the mean over all pairs of unit vectors follows from the length of their mean
+    mean = mean_vectors(chosen.withColumn("g", F.lit(0)), "g").select(dot(F.col("v"), F.col("v")).alias("m"))
     n = chosen.agg(F.count("*").alias("n"))
-    total = chosen.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("q"))
-    pairs = total.crossJoin(n).select((1 - (F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("far"))
+    pairs = mean.crossJoin(n).select((1 - (F.col("m") * F.col("n") * F.col("n") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("far"))
     return edges.agg(F.avg("dist").alias("near")).crossJoin(pairs).select((1 - F.col("near") / F.col("far")).alias("rel"))
 
 
-def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Share of weight inside clusters less a quarter of the expected share. edges hold both directions."""
-    a, b = (labels.select(F.col("row_id").alias(x), F.col("label").alias(f"l_{x}")) for x in ("src", "dst"))
-    joined = edges.join(a, "src").join(b, "dst")
-    whole = joined.agg(F.sum("w").alias("m2"), F.sum(F.when(F.col("l_src") == F.col("l_dst"), F.col("w")).otherwise(0.0)).alias("inside"))
-    degrees = joined.groupBy("l_src").agg(F.sum("w").alias("deg")).agg(F.sum(F.col("deg") * F.col("deg")).alias("d2"))
-    return whole.crossJoin(degrees).select((F.col("inside") / F.col("m2") - 0.25 * F.col("d2") / (F.col("m2") * F.col("m2"))).alias("modularity"))
+def modularity(edges: DataFrame, labels: DataFrame, *by: str) -> DataFrame:
+    """Share of weight inside clusters less a quarter of the expected share. edges hold both directions.
+
+    by: columns that tell several labellings of the rows apart; one row comes of each.
+    """
+    a, b = (labels.select(*by, F.col("row_id").alias(x), F.col("label").alias(f"l_{x}")) for x in ("src", "dst"))
+    joined = edges.join(a, "src").join(b, ["dst", *by])
+    inside = F.sum(F.when(F.col("l_src") == F.col("l_dst"), F.col("w")).otherwise(0.0)).alias("inside")
+    per = joined.groupBy(*by, "l_src").agg(F.sum("w").alias("deg"), inside)
+    whole = per.groupBy(*by).agg(F.sum("deg").alias("m2"), F.sum("inside").alias("inside"), F.sum(F.col("deg") * F.col("deg")).alias("d2"))
+    return whole.select(*by, (F.col("inside") / F.col("m2") - 0.25 * F.col("d2") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
 def _scaled(factor: float) -> Column:
@@ -147,8 +166,16 @@ def concat_blocks(*blocks: tuple[DataFrame, float]) -> DataFrame:
     return out.select("row_id", F.concat(*(F.col(f"b{i}") for i in range(len(blocks)))).alias("v"))
 
 
+def fits(n_terms: int, k: int) -> bool:
+    """Whether a dense matrix of so many terms and columns is one that the driver and tasks may hold."""
+    return n_terms <= MAX_TERMS and n_terms * k * 8 <= DENSE_BYTES
+
+
 class Sparse:
-    """Rows (row_id, term, w) as one sparse list for each row, against a dense matrix over a bounded set of terms."""
+    """Rows (row_id, term, w) as one sparse list for each row, against a dense matrix over a bounded set of terms.
+
+    Terms are turned into numbers once; products then read numbers only.
+    """
 
     def __init__(self, weights: DataFrame, terms: list | None = None):
         spark = weights.sparkSession
@@ -156,38 +183,53 @@ class Sparse:
         if terms is None:
             terms = [r[0] for r in weights.select("term").distinct().orderBy("term").limit(MAX_TERMS + 1).collect()]
         if len(terms) > MAX_TERMS:
-            raise ValueError(f"more than {MAX_TERMS} terms; prune the vocabulary first")
+            raise ValueError(f"more than {MAX_TERMS} terms: use truncated_svd or pooled, which keep them distributed")
         self.terms = terms
-        self.index = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-        self.rows = weights.groupBy("row_id").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("w").cast("double")).alias("ws")).cache()
+        index = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+
+        def coded(batches):
+            for b in batches:
+                lists = b.column(1)
+                size = lists.value_lengths().to_numpy()
+                code = np.array([index.value.get(t, -1) for t in lists.flatten().to_pylist()], np.int32)
+                w, end = b.column(2).flatten().to_numpy(), np.cumsum(size)
+                parts = [(c[c >= 0].tobytes(), x[c >= 0].tobytes()) for c, x in ((code[e - n : e], w[e - n : e]) for n, e in zip(size, end, strict=True))]
+                codes, ws = zip(*parts, strict=True) if parts else ([], [])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary()), pa.array(ws, pa.binary())], ["row_id", "codes", "ws"])
+
+        lists = weights.groupBy("row_id").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("w").cast("double")).alias("ws"))
+        self.rows = settled(lists.mapInArrow(coded, f"row_id {self.kind}, codes binary, ws binary"))
+        index.unpersist()
 
     def times(self, m: np.ndarray) -> DataFrame:
         """(row_id, v): every row times m, whose rows are terms."""
-        index, m = self.index, self.rows.sparkSession.sparkContext.broadcast(m)
+        m = self.rows.sparkSession.sparkContext.broadcast(m)
 
         def run(batches):
             for b in batches:
-                row, code, w = _codes(b, index.value)
+                row, code, w = _codes(b)
                 out = _sums(row, m.value[code] * w[:, None], b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.tolist(), pa.list_(pa.float64()))], ["row_id", "v"])
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(out)], ["row_id", "v"])
 
         return self.rows.mapInArrow(run, f"row_id {self.kind}, v array<double>")
 
     def square(self, m: np.ndarray) -> np.ndarray:
-        """A'(A m): summed in each task, then by blocks of terms, so that one matrix comes back."""
-        index, shared, k = self.index, self.rows.sparkSession.sparkContext.broadcast(m), m.shape[1]
+        """A'(A m): summed in each task, then by blocks of terms that the task has touched, so that one matrix comes back."""
+        shared, k = self.rows.sparkSession.sparkContext.broadcast(m), m.shape[1]
 
         def run(batches):
-            total = np.zeros(shared.value.shape)
+            total, touched = np.zeros(shared.value.shape), np.zeros(len(shared.value) // 1024 + 1, bool)
             for b in batches:
-                row, code, w = _codes(b, index.value)
+                row, code, w = _codes(b)
                 y = _sums(row, shared.value[code] * w[:, None], b.num_rows)
                 order = np.argsort(code, kind="stable")
                 if order.size:
                     c = code[order]
                     first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
                     total[c[first]] += np.add.reduceat((y[row] * w[:, None])[order], first)
-            for at in range(0, len(total), 1024):
+                    touched[c[first] // 1024] = True
+            for i in np.flatnonzero(touched):
+                at = int(i) * 1024
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total[at : at + 1024].tobytes()], pa.binary())], ["at", "part"])
 
         def add(t: pa.Table) -> pa.Table:
@@ -195,6 +237,7 @@ class Sparse:
             return pa.table({"at": t.column("at").slice(0, 1), "part": [np.sum(parts, axis=0).tobytes()]})
 
         got = self.rows.mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(add, "at int, part binary").collect()
+        shared.unpersist()
         out = np.zeros(m.shape)
         for r in got:
             x = np.frombuffer(r["part"], float).reshape(-1, k)
@@ -202,14 +245,11 @@ class Sparse:
         return out
 
 
-def _codes(batch: pa.RecordBatch, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term number, weight) of a batch of sparse rows, known terms only."""
-    lists = batch.column(1)
-    size = lists.value_lengths().to_numpy()
-    code = np.array([index.get(t, -1) for t in lists.flatten().to_pylist()], np.int64)
-    row, w = np.repeat(np.arange(len(size)), size), batch.column(2).flatten().to_numpy()
-    known = code >= 0
-    return row[known], code[known], w[known]
+def _codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term number, weight) of a batch of coded rows."""
+    raw = batch.column(1).to_pylist()
+    row = np.repeat(np.arange(len(raw)), [len(x) // 4 for x in raw])
+    return row, np.frombuffer(b"".join(raw), np.int32).astype(np.int64), np.frombuffer(b"".join(batch.column(2).to_pylist()), float)
 
 
 def _sums(row: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -223,66 +263,104 @@ def _sums(row: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
 def truncated_svd(weights: DataFrame, rank: int, rounds: int = 2, over: int = 8, seed: int = 7) -> DataFrame:
     """(row_id, v): rows projected on the leading right singular vectors, by a randomised range finder.
 
-    Rows stay distributed. The terms' side has a bounded number of rows and is what is sent around.
+    Rows stay distributed. While the terms' side fits (DENSE_BYTES), it is what is sent around; beyond,
+    both sides are tables that meet in joins, and only matrices of rank x rank come to the driver.
     """
+    n_terms = weights.select("term").distinct().count()
+    k = min(rank + over, n_terms)
+    if not fits(n_terms, k):
+        return _wide_svd(weights, rank, k, rounds, seed)
     a = Sparse(weights)
-    k = min(rank + over, len(a.terms))
     q = np.random.default_rng(seed).standard_normal((len(a.terms), k))
     for _ in range(rounds):
-        y = a.square(q)
-        before, (q, _) = q, np.linalg.qr(y)
+        q, _ = np.linalg.qr(a.square(q))
     y = a.square(q)
     value, vector = np.linalg.eigh(q.T @ y)
     return a.times(q @ vector[:, np.argsort(-value)[:rank]])
 
 
-def _times(v: Column, m: np.ndarray) -> Column:
-    columns = [F.array(*map(F.lit, c.tolist())) for c in m.T]
-    return F.array(*(dot(v, c) for c in columns))
+def weighted_sums(weights: DataFrame, key: str, other: str, vectors: DataFrame) -> DataFrame:
+    """(key, v): sums of w times the vector of `other`, by joins alone. vectors: (other, v)."""
+    rows = weights.select(key, other, "w").join(vectors, other).select(key, array_to_vector(F.transform("v", lambda x: x * F.col("w"))).alias("x"))
+    return rows.groupBy(key).agg(vector_to_array(Summarizer.sum(F.col("x"))).alias("v"))
+
+
+def _wide_svd(weights: DataFrame, rank: int, k: int, rounds: int, seed: int) -> DataFrame:
+    """truncated_svd with the terms' side distributed, too; columns are made orthonormal through their k x k products."""
+    weights = settled(weights.select("row_id", "term", F.col("w").cast("double").alias("w")))
+    start = F.array(*(F.randn(seed + i) for i in range(k)))
+    q = settled(weights.select("term").distinct().select("term", start.alias("v")))
+    for _ in range(rounds):
+        y = settled(weighted_sums(weights, "row_id", "term", q))
+        z = settled(weighted_sums(weights, "term", "row_id", y))
+        value, vector = np.linalg.eigh(_gram(z))
+        good = value > value.max() * 1e-12
+        turn = vector[:, good] / np.sqrt(value[good])
+        q = settled(_each(z, "term", lambda x, turn=turn: x @ turn))
+    y = settled(weighted_sums(weights, "row_id", "term", q))
+    value, vector = np.linalg.eigh(_gram(y))
+    turn = vector[:, np.argsort(-value)[:rank]]
+    return _each(y, "row_id", lambda x: x @ turn)
+
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as one list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
-def _gram(rows: DataFrame) -> np.ndarray:
-    """V'V of (.., v) by one partial sum matrix for each task; at most k x k numbers come back."""
+
+def _each(rows: DataFrame, key: str, f) -> DataFrame:
+    """(key, v) with f applied to the matrix of v's rows, a batch at a time. A batch of no rows stays so."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(f(matrix(b.column(1))))], [key, "v"])
+
+    return rows.select(key, "v").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, v array<double>")
+
+
+def _gram(rows: DataFrame, centre: np.ndarray | float = 0.0) -> np.ndarray:
+    """V'V of (.., v - centre) by one partial sum matrix for each task, of k x k numbers; these are summed by row of the matrix."""
 
     def run(batches):
         total = None
         for b in batches:
-            x = np.array(b.column(0).to_pylist(), float)
+            x = matrix(b.column(0))
             if len(x):
+                x = x - centre
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(total.ravel())], ["i", "j", "x"])
-
-    got = rows.select("v").mapInArrow(run, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
-    n = max((r["i"] for r in got), default=-1) + 1
-    out = np.zeros((n, n))
-    for r in got:
-        out[r["i"], r["j"]] = r["x"]
-    return out
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), _lists(total)], ["i", "v"])
+
+    got = mean_vectors(rows.select("v").mapInArrow(run, "i int, v array<double>"), "i", total=True).orderBy("i").collect()
+    return np.array([r["v"] for r in got]) if got else np.zeros((0, 0))
 
 
 def pooled(counts: DataFrame, vectors: DataFrame, weight: Column) -> DataFrame:
     """Document vectors: the weighted sum of word vectors. counts: (row_id, term, ...), vectors: (term, v) of a bounded vocabulary."""
-    known = vectors.orderBy("term").limit(MAX_TERMS + 1).collect()
-    return Sparse(counts.select("row_id", "term", weight.alias("w")), [r["term"] for r in known]).times(np.array([r["v"] for r in known], float))
+    width = vectors.select(F.size("v").alias("k")).first()
+    weighted = counts.select("row_id", "term", weight.alias("w"))
+    if width is None or not fits(vectors.count(), width["k"]):
+        return weighted_sums(weighted, "row_id", "term", vectors)
+    known = vectors.orderBy("term").collect()
+    return Sparse(weighted, [r["term"] for r in known]).times(np.array([r["v"] for r in known], float))
 
 
 def remove_top_components(points: DataFrame, n: int) -> DataFrame:
     """Centred points less their projection on the n leading components."""
-    mean = points.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).orderBy("i").collect()
-    centre = F.array(*(F.lit(r["x"]) for r in mean))
-    centred = points.select("row_id", F.zip_with("v", centre, lambda a, b: a - b).alias("v"))
-    if not n:
-        return centred
-    value, vector = np.linalg.eigh(_gram(centred))
+    mean = mean_vectors(points.withColumn("g", F.lit(0)), "g").first()
+    centre = np.array(mean["v"]) if mean else np.zeros(0)
+    if not n or not mean:
+        return _each(points, "row_id", lambda x: x - centre)
+    value, vector = np.linalg.eigh(_gram(points, centre))
     top = vector[:, np.argsort(-value)[:n]]
-    return centred.select("row_id", F.zip_with("v", _times(F.col("v"), top @ top.T), lambda a, b: a - b).alias("v"))
+    return _each(points, "row_id", lambda x: (x - centre) - (x - centre) @ top @ top.T)
 
 
 def explained_variance(points: DataFrame) -> float:
     """Share of the leading component."""
-    value = np.linalg.eigvalsh(_gram(remove_top_components(points, 0)))
+    mean = mean_vectors(points.withColumn("g", F.lit(0)), "g").first()
+    value = np.linalg.eigvalsh(_gram(points, np.array(mean["v"]))) if mean else np.zeros(0)
     return float(value.max() / value.sum()) if value.size and value.sum() else 0.0
 
 
@@ -307,14 +385,19 @@ def spectral(edges: DataFrame, dim: int, rounds: int = 12, seed: int = 11) -> Da
 
 
 def random_projection(weights: DataFrame, dim: int) -> DataFrame:
-    """OURS: a projection whose entries are signs from a hash of (term, column)."""
-    signs = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.when(F.xxhash64("term", i) % 2 == 0, F.col("w")).otherwise(-F.col("w")))
-    flat = weights.select("row_id", F.posexplode(signs).alias("i", "x")).groupBy("row_id", "i").agg(F.sum("x").alias("x"))
-    return flat.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"] / float(np.sqrt(dim))).alias("v"))
+    """OURS: a projection whose entries are signs, the bits of hashes of a term; one sum for each column, and no explode."""
+    words = -(-dim // 32)
+    rows = weights.select("row_id", "w", *(fn.digest(F.col("term"), F.lit(i)).alias(f"h{i}") for i in range(words)))
+
+    def bit(i: int) -> Column:
+        return F.shiftright(F.col(f"h{i // 32}"), i % 32).bitwiseAND(F.lit(1))
+
+    sums = [F.sum(F.when(bit(i) == 0, F.col("w")).otherwise(-F.col("w"))) / float(np.sqrt(dim)) for i in range(dim)]
+    return rows.groupBy("row_id").agg(F.array(*sums).alias("v"))
 
 
 def jitter_empty(points: DataFrame, scale: float = 1e-3, seed: int = 5) -> DataFrame:
     """Zero vectors get small noise that depends on the row id."""
     zero = ~F.exists("v", lambda x: x != 0)
-    noise = F.transform("v", lambda x, i: x + scale * ((F.pmod(F.xxhash64("row_id", i, F.lit(seed)), F.lit(2001)) - 1000) / 1000.0))
+    noise = F.transform("v", lambda x, i: x + scale * ((fn.digest(F.col("row_id"), i, F.lit(seed)) % 2001 - 1000) / 1000.0))
     return points.select("row_id", F.when(zero, noise).otherwise(F.col("v")).alias("v"))

@@ -48,12 +48,32 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="lathe-")
 
 
+_held: list[tuple[SparkSession, str]] = []
+
+
+def held() -> int:
+    """A mark for release()."""
+    return len(_held)
+
+
+def release(since: int = 0) -> None:
+    """Delete the tables settled since the mark. What was made from them can't be run again."""
+    while len(_held) > since:
+        spark, path = _held.pop()
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: no lineage behind it, and safe when executors are lost."""
+    """df written to the shared folder and read again: no lineage behind it, and safe when executors are lost.
+
+    Results are lazy and read these tables, so it is the caller who ends their life, with release().
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or ""
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = f"{(root or _own_folder()).rstrip('/')}/settled-{uuid.uuid4().hex[:12]}"
+    _held.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from .. import sources
 
 
 def text_key(df: DataFrame) -> DataFrame:
@@ -29,6 +30,8 @@ def cluster_stream(batches: DataFrame, preset, sink: str, checkpoint: str):
 
     def each(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
+            mark = sources.held()
             preset(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(sink)
+            sources.release(mark)
 
     return batches.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

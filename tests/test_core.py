@@ -31,6 +31,28 @@ def test_clean_title(spark, text, want):
     assert one(spark, text, fn.clean_title) == want
 
 
+LINKS = "use httpx and wwwroot then HTTPS now http://a.b/c www.x.y HTTP://A.B WWW.Z https://d e"
+
+
+@pytest.mark.parametrize(
+    ("function", "want"),
+    [
+        (fn.clean_title, "use httpx and wwroot then HTTPS now HTTP://A.B WW.Z e"),
+        (fn.clean_post, "use httpx and wwroot then HTTPS now HTTP A B WW Z e"),
+        (fn.clean_hash, "use httpx and wwwroot then https now http a b www z e"),
+        (fn.clean_joined, "use and then now e"),
+    ],
+)
+def test_links(spark, function, want):
+    """Only the first cleaner takes any word that begins like a link for one, and lowers before it looks."""
+    assert one(spark, LINKS, function) == want
+
+
+def test_profile_finds_links_of_any_case(spark):
+    rows = sources.from_list(spark, ["WWW.A.B is here", "Http too", "none"])
+    assert round(plans.profile(rows).first().links, 6) == 0.666667
+
+
 def test_clean_post(spark):
     assert one(spark, "Fish &amp; chips... #yum!", fn.clean_post) == "Fish chips yum"
 
@@ -127,6 +149,139 @@ def test_presets_reduce(spark, monkeypatch):
     assert [c[0] for c in seen] == ["_spectral", "merge_mutual", "merge_mutual"] and [c[-1] for c in seen[1:]] == [1, 4]
 
 
+def test_cuts_of_one_tree_equal_runs_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.4, (30, 6)) for c in rng.normal(0, 2, (5, 6))])
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, v array<double>").cache()
+    ks = (2, 3, 5, 8, 13, 21, 34, 55)
+    for most in (6000, 100):
+        got = {k: {} for k in ks}
+        for r in cluster.linkage_cuts(points, ks, most).collect():
+            got[r.k][r.row_id] = r.label
+        for k in ks:
+            assert got[k] == {r.row_id: r.label for r in cluster.linkage_labels(points, k, most).collect()}
+    edges = vectors.symmetric(vectors.knn(points, 6)).cache()
+    scores = {k: vectors.modularity(edges, cluster.linkage_labels(points, k)).first()[0] for k in ks}
+    best = max(ks, key=lambda k: (round(scores[k], 12), -k))
+    assert {r.row_id: r.label for r in cluster.best_cut(points, edges, ks).collect()} == {r.row_id: r.label for r in cluster.linkage_labels(points, best).collect()}
+
+
+def test_many_terms_stay_distributed(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    a = np.where(rng.random((40, 4)) < 0.8, rng.random((40, 4)), 0) @ rng.standard_normal((4, 25))
+    rows = spark.createDataFrame([(i, f"t{j}", float(a[i, j])) for i in range(40) for j in range(25)], "row_id long, term string, w double").filter("w <> 0").cache()
+    words = spark.createDataFrame([(f"t{j}", [float(j), 1.0]) for j in range(25)], "term string, v array<double>")
+
+    def pooled():
+        return {r.row_id: np.round(r.v, 9).tolist() for r in vectors.pooled(rows, words, F.col("w") * 2).collect()}
+
+    want = pooled()
+    monkeypatch.setattr(vectors, "DENSE_BYTES", 0)
+    got = {r.row_id: r.v for r in vectors.truncated_svd(rows, 4).collect()}
+    v = np.array([got.get(i, [0.0] * 4) for i in range(40)])
+    assert np.allclose(v @ v.T, a @ a.T, atol=1e-6) and pooled() == want
+
+
+def test_unit_length_of_wide_vectors(spark):
+    x = np.random.default_rng(0).standard_normal((20, 3000))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(20, [0.0] * 3000)], "row_id long, v array<double>")
+    got = {r.row_id: r.u for r in df.select("row_id", vectors.unit(F.col("v")).alias("u")).collect()}
+    assert np.allclose([got[i] for i in range(20)], x / np.linalg.norm(x, axis=1, keepdims=True)) and not any(got[20])
+
+
+def test_neighbours_with_ties(spark):
+    x = np.random.default_rng(1).integers(0, 3, (60, 3)).astype(float)
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, v array<double>")
+    d = np.round(np.sqrt(((x[:, None] - x) ** 2).sum(-1)), 12)
+    want = {i: sorted((d[i, j], j) for j in range(60) if j != i)[:7] for i in range(60)}
+    got = {i: [] for i in range(60)}
+    for r in vectors.knn(points, 7, "euclidean").orderBy("src", "rank").collect():
+        got[r.src].append((r.dist, r.dst))
+    assert {i: [j for _, j in g] for i, g in got.items()} == {i: [j for _, j in g] for i, g in want.items()}
+
+
+def _topics(n, rng, words=6, topics=12):
+    return [" ".join(f"topic{i % topics}word{x}" for x in rng.integers(0, 30, words)) for i in range(n)]
+
+
+def test_titles_have_a_path_of_their_own(spark):
+    rng = np.random.default_rng(7)
+    batch = sources.from_list(spark, [*_topics(240, rng), "", "http://only.a/link"]).cache()
+    assert plans.profile(batch).first().is_titles
+    for sample in (6000, 120):
+        got = {r.row_id: r.label for r in plans.preset_b(batch, lsa=16, ppmi=16, sample=sample).collect()}
+        assert len(got) == 242 and got[240] == got[241] == -1
+        same = [got[i] == got[j] for i in range(240) for j in range(i) if i % 12 == j % 12]
+        other = [got[i] == got[j] for i in range(240) for j in range(i) if i % 12 != j % 12]
+        assert np.mean(same) > 0.05 > 10 * np.mean(other)
+
+
+def test_titles_that_fall_through_are_refined(spark, monkeypatch):
+    monkeypatch.setattr(plans, "title_path", lambda *a: None)
+    calls = []
+    for name in ("refine", "protected"):
+        real = getattr(plans.labels, name)
+        monkeypatch.setattr(plans.labels, name, lambda *a, name=name, real=real: (calls.append(name), real(*a))[1])
+    batch = sources.from_list(spark, _topics(80, np.random.default_rng(8))).cache()
+    assert plans.preset_b(batch, lsa=8, ppmi=8).count() == 80 and calls == ["refine", "protected"]
+
+
+def test_diffuse_batches_merge_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(plans.vectors, "explained_variance", lambda p: 0.01)
+    calls = []
+    real = plans.labels.merge_most_similar
+    monkeypatch.setattr(plans.labels, "merge_most_similar", lambda *a: (calls.append(1), real(*a))[1])
+    batch = sources.from_list(spark, _topics(80, np.random.default_rng(9), words=30)).cache()
+    assert plans.preset_b(batch, lsa=8, ppmi=8, titles=False).count() == 80 and calls == [1]
+
+
+@pytest.mark.parametrize(("preset", "n"), [(plans.preset_c, 8_001), (plans.preset_b, 15_001)])
+def test_large_batches(spark, preset, n):
+    batch = spark.range(n).select(F.col("id").alias("row_id"), F.concat_ws(" ", *(F.concat(F.lit("t"), (F.col("id") % 9).cast("string"), F.lit("w"), F.pmod(F.xxhash64("id", F.lit(j)), F.lit(40)).cast("string")) for j in range(8))).alias("text"))
+    got = preset(batch).groupBy("label").count().collect()
+    sizes = [r["count"] for r in got]
+    assert sum(sizes) == n and 0.15 * n < sizes.count(1) < 0.25 * n
+
+
+def test_fallback_answers(spark):
+    def broken(batch):
+        raise RuntimeError("no")
+
+    batch = sources.from_list(spark, [*_topics(120, np.random.default_rng(10)), ""])
+    got = {r.row_id: r.label for r in plans.with_fallback(broken)(batch).collect()}
+    assert len(got) == 121 and got[120] == -1 and len(set(got.values())) == 4
+    assert {r.label for r in plans.with_fallback(broken)(sources.from_list(spark, ["", "x y"])).collect()} == {0}
+
+
+def test_command_line(spark, tmp_path):
+    from lathe.__main__ import main
+
+    sources.from_list(spark, _topics(60, np.random.default_rng(11))).withColumnRenamed("row_id", "n").write.parquet(str(tmp_path / "in"))
+    main([str(tmp_path / "in"), str(tmp_path / "out"), "--preset", "a", "--id", "n"])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+
+
+def test_settled_tables_are_released(spark):
+    mark = sources.held()
+    df = sources.settled(spark.range(5))
+    assert df.count() == 5 and sources.held() == mark + 1
+    sources.release(mark)
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_entry_without_the_optional_part(monkeypatch):
+    """A missing library of the optional part leaves the other queries."""
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith("lathe.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "lathe.llm", None)
+    assert set(__spark_entry__.queries()) == set(catalog.QUERIES) and set(__spark_entry__.oracle_sql()) == set(catalog.ORACLES)
+
+
 def test_window_cooccurrence_counts_both_ways(spark):
     batch = spark.createDataFrame([(1, "a b a a"), (2, "c"), (3, "b c"), (4, None)], "row_id long, text string")
     words = F.split("text", " ")
