@@ -40,6 +40,8 @@ from .components import connected
 from .scratch import Scratch, table
 
 CACHE_ENTRIES = 400_000
+#: Odd, for keys of pairs.
+_A = 0x5851F42D4C957F2D
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -199,6 +201,13 @@ def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 HUBS = 8
+#: Keys that a broadcast may hold (about 60 bytes each); counted before.
+MAX_KEYS = 1_000_000
+
+
+def _only(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of df whose keys are among `keys`; these are sent to all tasks while they are few, and joined beyond."""
+    return df.join(F.broadcast(keys) if keys.count() <= MAX_KEYS else keys, keys.columns, "left_semi")
 
 
 def _brought_together(rows: DataFrame, test, *key: str) -> DataFrame:
@@ -210,19 +219,22 @@ def _in_block(n: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
 
 
-def edges_of(rows: DataFrame, key: str, block: int, test, scratch: Scratch, name: str) -> DataFrame:
+def edges_of(entries: DataFrame, filled, key: str, block: int, test, scratch: Scratch, name: str) -> DataFrame:
     """Edges that connect all that `test` connects among rows of one key.
 
-    rows: (key, blocks, id, size, values), read from tables; blocks: the number into which the key's rows are cut.
+    entries: a table with key and blocks, the number into which the key's rows are cut.
+    filled: from some of them to (key, blocks, id, size, values).
     """
+    rows = filled(entries)
     n = F.col("blocks").cast("int")
     hub = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.lit(float(HUBS << 30)) / (n * block)
     at = F.when(n <= 1, F.array(F.lit(0))).when(hub, F.sequence(F.lit(0), n - 1)).otherwise(F.array(_in_block(n, 7)))
     first = rows.select(key, F.explode(at).alias("lo"), "id", "size", "values")
     first = scratch.save(_brought_together(first, test, key, "lo"), f"{name}-1")
-    long = rows.filter("blocks > 1")
+    long = entries.filter("blocks > 1")
     if long.isEmpty():
         return first
+    long = filled(long)
     label = connected(first, scratch, f"{name}-in")
     known = long.select(key, "blocks", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select(key, "blocks", "id", F.coalesce("component", "id").alias("component"))
     known = scratch.save(known.distinct(), f"{name}-known")
@@ -300,6 +312,29 @@ class NearDedup:
 
         return run
 
+    def _pairs(self, common: DataFrame):
+        """Of sketches: each pair of a common value among the listed ones and another of the `paired` least, once."""
+        spark = common.sparkSession
+        shared = spark.sparkContext.broadcast(np.sort(np.array([r["value"] for r in common.collect()], np.int64)))
+        listed, paired = self.listed, self.paired
+
+        def run(batches):
+            common = shared.value
+            for batch in batches:
+                found, count = [], []
+                for raw in batch.column(1).to_pylist():
+                    v = np.frombuffer(raw, np.uint64)[:paired].view(np.int64)
+                    at = np.minimum(np.searchsorted(common, v[:listed]), common.size - 1)
+                    hot = v[:listed][common[at] == v[:listed]]
+                    a, b = (x.ravel() for x in np.meshgrid(hot, v, indexing="ij"))
+                    a, b = a[a != b], b[a != b]
+                    found.append(np.unique(np.minimum(a, b) * np.int64(_A) + np.maximum(a, b)))
+                    count.append(found[-1].size)
+                digests = batch.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), digests], ["value", "digest"])
+
+        return run
+
     def _prefixes(self):
         """Of texts: all values of which a linked set must share one, and the whole sets."""
         words, num, den = self.words, self.num, self.den
@@ -323,10 +358,14 @@ class NearDedup:
             return scratch.save(listed.join(lengths, "value").select("value", "digest", blocks), "entries")
         short = listed.join(lengths.filter(F.col("length") <= self.list_block), "value").select("value", "digest", blocks)
         # classes under a common value, by the pairs of it and their other values
-        has = scratch.save(listed.join(common, "value"), "common")
-        more = sketched.select("digest", column).join(has.select("digest").distinct(), "digest", "left_semi").mapInArrow(self._least(self.paired), "value long, digest binary")
-        pair = has.join(more.select("digest", F.col("value").alias("other")), "digest").filter("value <> other")
-        pair = scratch.save(pair.select(F.xxhash64(F.least("value", "other"), F.greatest("value", "other")).alias("value"), "digest").distinct(), "pairs")
+        if common.count() <= MAX_KEYS:
+            pair = sketched.select("digest", column).mapInArrow(self._pairs(common), "value long, digest binary")
+        else:
+            has = scratch.save(listed.join(common, "value"), "common")
+            more = sketched.select("digest", column).mapInArrow(self._least(self.paired), "value long, digest binary")
+            pair = has.join(more.select("digest", F.col("value").alias("other")), "digest").filter("value <> other")
+            pair = pair.select(F.xxhash64(F.least("value", "other"), F.greatest("value", "other")).alias("value"), "digest").distinct()
+        pair = scratch.save(pair, "pairs")
         lengths = pair.groupBy("value").agg(F.count("*").alias("length")).filter("length > 1")
         return scratch.save(short.unionByName(pair.join(lengths, "value").select("value", "digest", blocks)), "entries")
 
@@ -360,21 +399,26 @@ class NearDedup:
         whole = rows.join(classes.select("digest", "id", "hash", F.col("n").alias("size")), ["id", "hash"]).dropDuplicates(["digest"]).select("digest", "text", "id", "size")
         whole = scratch.save(whole.mapInArrow(self._prefixes(), "digest binary, id long, size long, least binary, values binary"), "whole")
         entries = self._lists(whole, "least", scratch)
-        return edges_of(entries.join(whole.drop("least"), "digest").drop("digest"), "value", self.list_block, _groups(_exact, self.k, self.num, self.den), scratch, "links")
+        return edges_of(entries, lambda e: e.join(whole.drop("least"), "digest").drop("digest"), "value", self.list_block, _groups(_exact, self.k, self.num, self.den), scratch, "links")
 
     def _links(self, rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
         entries = self._lists(classes, "sketch", scratch)
-        entries = entries.join(classes.select("digest", "id", F.col("n").alias("size"), F.col("sketch").alias("values")), "digest").drop("digest")
-        likely = edges_of(entries, "value", self.list_block, _groups(_estimated, self.k, self.num, self.den), scratch, "likely")
+        sketches = classes.select("digest", "id", F.col("n").alias("size"), F.col("sketch").alias("values"))
+
+        def filled(e: DataFrame) -> DataFrame:
+            # of long lists alone, few sketches are needed, and only these are shuffled
+            return e.join(sketches if e is entries else _only(sketches, e.select("digest").distinct()), "digest").drop("digest")
+
+        likely = edges_of(entries, filled, "value", self.list_block, _groups(_estimated, self.k, self.num, self.den), scratch, "likely")
         families = connected(likely, scratch, "families")
 
         # whole sets, once for each class of a family; blocks are bounded by members and by shingles
         members = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(classes.select("id", "hash", F.col("n").alias("size")), "id")
         bounds = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / F.lit(self.block), F.sum("size") / F.lit(1_000_000.0))).alias("blocks"))
         members = scratch.save(members.join(bounds, "family").select("id", "hash", "family", "blocks", "size"), "members")
-        full = rows.join(members, ["id", "hash"]).dropDuplicates(["id", "hash"]).select("id", "text", "family", "blocks", "size")
+        full = _only(rows, members.select("id", "hash")).join(members, ["id", "hash"]).dropDuplicates(["id", "hash"]).select("id", "text", "family", "blocks", "size")
         full = scratch.save(full.mapInArrow(self._sets(), "id long, family long, blocks long, size long, values binary"), "full")
-        return edges_of(full, "family", self.block, _groups(_exact, self.k, self.num, self.den), scratch, "links")
+        return edges_of(full, lambda e: e, "family", self.block, _groups(_exact, self.k, self.num, self.den), scratch, "links")
 
     @staticmethod
     def _shared_ids(named: DataFrame) -> DataFrame:

@@ -313,10 +313,13 @@ def boilerplate_corpus():
     return rows
 
 
-@pytest.mark.parametrize("settings", [{"list_block": 16, "block": 16}, {"list_block": 16, "block": 16, "risk": 0}, {"risk": 0}, {}])
-def test_common_passages_and_hubs(spark, settings):
+@pytest.mark.parametrize("settings", [{"list_block": 16, "block": 16}, {"list_block": 16, "block": 16, "joined": True}, {"list_block": 16, "block": 16, "risk": 0}, {"risk": 0}, {}])
+def test_common_passages_and_hubs(spark, settings, monkeypatch):
     """Long lists go by pairs of values, and long families through hubs, without a lost link; the exact way agrees."""
     rows = boilerplate_corpus()
+    settings = dict(settings)
+    if settings.pop("joined", False):
+        monkeypatch.setattr(near_dedup, "MAX_KEYS", 0)
     got = {r[0]: tuple(r)[1:] for r in near_dedup.NearDedup(3, 85, 100, **settings).components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == linked(rows, 3, 85, 100)
 
@@ -335,7 +338,7 @@ def test_a_family_costs_in_proportion(spark):
     near_dedup._brought_together = lambda rows, test, *key: (dealt.append(rows.count()), real(rows, test, *key))[1]
     try:
         scratch = Scratch(spark, "t")
-        edges = near_dedup.edges_of(df, "g", 64, near_dedup._groups(near_dedup._exact, 64, 85, 100), scratch, "x")
+        edges = near_dedup.edges_of(df, lambda e: e, "g", 64, near_dedup._groups(near_dedup._exact, 64, 85, 100), scratch, "x")
         assert components.connected(edges, scratch, "y").filter("component = 0").count() == 1200
     finally:
         near_dedup._brought_together = real
