@@ -57,22 +57,26 @@ def mark(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str =
     return later.groupBy("row_id", "row_t1", "row_t2").agg(covered.alias("gone"))
 
 
-def drop_lines(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row of docs as the struct `row`, with kept_text, n_lines, n_removed and n_spans."""
+def drop_lines(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """Each row of docs as the struct `row`, with kept_text, n_lines, n_removed and n_spans.
+
+    carried: the columns of docs in `row`, all by default; these and the text, once, are shuffled.
+    """
     gone = mark(docs, size, id_col, text_col)
     text = docs[text_col].cast("string")
     rows = docs.select(
-        F.struct(*(docs[c] for c in docs.columns)).alias("row"), text.alias("text"),
+        F.struct(*(docs[c] for c in carried or docs.columns if c != text_col)).alias("rest"), docs[text_col].alias("own"),
         F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("row_id"), F.xxhash64(text).alias("row_t1"), F.xxhash64(F.lit(1), text).alias("row_t2"),
     )
-    out = rows.join(gone, ["row_id", "row_t1", "row_t2"], "left").withColumn("lines", F.split("text", "\n", -1))
+    out = rows.join(gone, ["row_id", "row_t1", "row_t2"], "left").withColumn("text", F.col("own").cast("string")).withColumn("lines", F.split("text", "\n", -1))
     # array_except goes through a hash set, so both expressions below are linear in the lines
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
     count = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
     spans = F.size(F.array_except("gone", F.transform("gone", lambda x: x + 1)))
     spans = F.when(F.col("gone").isNull(), 0).otherwise(spans).cast("long")
+    row = F.struct(*((F.col("own") if c == text_col else F.col("rest").getField(c)).alias(c) for c in carried or docs.columns))
     return out.select(
-        "row",
+        row.alias("row"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         count.alias("n_removed"), spans.alias("n_spans"),
@@ -80,7 +84,7 @@ def drop_lines(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_lines(table(spark, sf_dir, "documents"))
+    out = drop_lines(table(spark, sf_dir, "documents"), carried=["doc_id"])
     return out.select("row.doc_id", "n_lines", "n_removed", "n_spans", F.md5("kept_text").alias("kept_md5"))
 
 
