@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .components import connected
 from .scratch import Scratch, table
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Odd, for keys of pairs.
 _A = 0x5851F42D4C957F2D
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
