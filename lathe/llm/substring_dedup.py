@@ -17,9 +17,13 @@ left open:
 4. Windows of the pointers that stay open are compared one by one, by the identifiers at their
    offsets 0, q and length - q.
 
-Every bucket sends one pointer for each distinct class, chunk of documents and document, so copies
-are merged before the shuffle and a string that all documents hold is no hot key. Identifiers have
-64 bits, with 32 more to tell classes apart within a bucket.
+A chunk of documents sends each bucket the pointers of the first document of every class, so copies
+are merged before the shuffle and a string that all documents hold costs one pointer a chunk. A gram
+that very many texts hold in different surroundings is spread over buckets by its surroundings: the
+classes are settled there, and what stays is open without a look at the others of the gram, as it
+would be with one. Such grams are found by counting the pointers of one document in COUNTED. That
+decides where pointers go and nothing else: results are the same whatever is found. Identifiers have
+63 bits, with 32 more to tell classes apart within a bucket.
 
 Null text is empty. A null id has no order: nothing is removed there and it marks nothing. Rows of
 equal id are not smaller than each other; equal rows have equal results. A very long text is handled
@@ -40,6 +44,10 @@ from .scratch import Scratch, spans, table, width
 
 CHUNK_BYTES = 1 << 20
 POINTERS_PER_BUCKET = 400_000
+#: One document in so many is read to find the grams that have more pointers than a bucket should hold.
+COUNTED = 64
+#: Of such grams, at most; with more data, more pointers make one.
+MAX_SPREAD = 100_000
 SETTLED, OPEN = 1, 2
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -146,20 +154,31 @@ class Names:
         self.key, self.order, self.same = key, key if order is None else order, order is None
 
 
-def _send(doc: np.ndarray, names: Names, place: np.ndarray, gram: np.ndarray, context: np.ndarray, buckets: int):
+#: Of grams that are sent: 0 for those that are spread.
+KEPT_TOGETHER = np.uint64(1)
+NONE = np.zeros(0, np.uint64)
+
+
+def _send(doc: np.ndarray, names: Names, place: np.ndarray, gram: np.ndarray, context: np.ndarray, buckets: int, spread: np.ndarray = NONE):
     """One row for each bucket: the first document's pointers of every class, and the places settled here.
 
-    doc: index into names.
+    doc: index into names. spread: sorted grams that go to buckets by their context.
     """
     if not gram.size:
         return
+    gram = gram | KEPT_TOGETHER
+    if spread.size:
+        gram[spread[np.minimum(np.searchsorted(spread, gram), spread.size - 1)] == gram] ^= KEPT_TOGETHER
     rank = names.order
     order = np.lexsort((rank[doc], context, gram))
     doc, place, gram, context = doc[order], place[order], gram[order], context[order]
     fresh = np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]))
     first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     settled = rank[doc] > rank[doc[first]]
-    bucket = ((gram >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+    to = gram >> np.uint64(1)
+    if spread.size:
+        to = np.where(gram & KEPT_TOGETHER, to, _mix(to * ODD + context))
+    bucket = (to % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((place, doc, bucket))
     doc, place, gram, context, settled, bucket = (x[order] for x in (doc, place, gram, context, settled, bucket))
     cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), bucket.size)
@@ -203,7 +222,8 @@ def _refine(whole: bool):
             of = np.cumsum(new_gram) - 1
             classes = np.add.reduceat(fresh.astype(np.int64), start)
             span = np.maximum.reduceat(key, start) > np.minimum.reduceat(key, start)
-            flag = np.where((flag == 0) & (classes > 1)[of] & span[of], OPEN, flag)
+            alone = (gram & KEPT_TOGETHER) == 0  # the others of its gram are in other buckets
+            flag = np.where((flag == 0) & (((classes > 1) & span)[of] | alone), OPEN, flag)
         hit = flag > 0
         return pa.table(
             {"doc": np.concatenate([doc[hit], sdoc]), "place": np.concatenate([place[hit], splace]).astype(np.int32), "flag": np.concatenate([flag[hit], np.full(sdoc.size, SETTLED)]).astype(np.int32)}
@@ -262,7 +282,26 @@ class SubstringDedup:
     def _flags(self, sent: DataFrame, whole: bool) -> DataFrame:
         return sent.groupBy("bucket").applyInArrow(_refine(whole), FLAGGED)
 
-    def _first(self, buckets: int):
+    @staticmethod
+    def _spread(sent: DataFrame, scratch: Scratch, name: str) -> np.ndarray:
+        """The grams that would fill a bucket. sent: of one document in COUNTED. At most MAX_SPREAD come back."""
+
+        def count(batches):
+            for batch in batches:
+                gram = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+                gram, n = np.unique(np.concatenate([*gram, np.zeros(0, np.int64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n, pa.int64())], ["gram", "n"])
+
+        counts = sent.select("gram").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        full = scratch.save(counts.filter(F.col("n") >= POINTERS_PER_BUCKET // COUNTED), name)
+        least = (full.agg(F.sum("n").alias("n")).first()["n"] or 0) // MAX_SPREAD + 1
+        return np.sort(np.array([r["gram"] for r in full.filter(F.col("n") >= least).collect()], np.int64).view(np.uint64))
+
+    @staticmethod
+    def _counted(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0)
+
+    def _first(self, buckets: int, spread: np.ndarray = NONE):
         length, q = self.length, self.q
 
         def run(batches):
@@ -275,11 +314,11 @@ class SubstringDedup:
                 doc = of[at]
                 lo, hi = _extent(at, start[doc], stop[doc], length, q)
                 context = _context(grams, at, lo, hi, q, length)
-                yield from _send(doc, names, at - start[doc], gram, context, buckets)
+                yield from _send(doc, names, at - start[doc], gram, context, buckets, spread)
 
         return run
 
-    def _half(self, buckets: int):
+    def _half(self, buckets: int, spread: np.ndarray = NONE):
         """Open pointers, by the gram that reaches half of the rest to the left, and to the right."""
         length, q = self.length, self.q
         more = (length - q + 1) // 2
@@ -296,7 +335,7 @@ class SubstringDedup:
                     fits = (a >= start[doc]) & (a + q + more <= stop[doc])
                     gram = _mix(ids_of[a[fits]] + np.uint64(side) * MIX)
                     # the context tells documents' own pointers apart, so that a class is one document
-                    yield from _send(doc[fits], names, (at - start[doc])[fits], gram, _mix(names.order[doc[fits]].astype(np.uint64)).astype(np.uint32), buckets)
+                    yield from _send(doc[fits], names, (at - start[doc])[fits], gram, _mix(names.order[doc[fits]].astype(np.uint64)).astype(np.uint32), buckets, spread)
 
         return run
 
@@ -353,7 +392,8 @@ class SubstringDedup:
         id_columns = rows.columns[:-1]  # key, and rank if ids repeat
         total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         buckets = max(width(spark), int(total * 2 / (self.length - self.q + 2) / POINTERS_PER_BUCKET) + 1)
-        flags = scratch.save(self._flags(rows.mapInArrow(self._first(buckets), SENT), False), "flags")
+        spread = self._spread(self._counted(rows).mapInArrow(self._first(1), SENT), scratch, "full-grams")
+        flags = scratch.save(self._flags(rows.mapInArrow(self._first(buckets, spread), SENT), False), "flags")
         per_doc = flags.groupBy(F.col("doc").alias("key")).agg(
             F.collect_list(F.when(F.col("flag") == OPEN, F.col("place"))).alias("open"),
             F.collect_list(F.when(F.col("flag") == SETTLED, F.col("place"))).alias("settled"),
@@ -361,7 +401,8 @@ class SubstringDedup:
         held = scratch.save(rows.join(per_doc, "key").select(*id_columns, "text", "open", "settled"), "held")
         scratch.drop("flags")
         opened = held.filter(F.size("open") > 0).select(*id_columns, "text", "open")
-        half = self._flags(opened.mapInArrow(self._half(buckets), SENT), False)
+        spread = self._spread(self._counted(opened).mapInArrow(self._half(1), SENT), scratch, "full-halves")
+        half = self._flags(opened.mapInArrow(self._half(buckets, spread), SENT), False)
         half = scratch.save(half.groupBy(F.col("doc").alias("key")).agg(F.array_sort(F.collect_set("place")).alias("open")), "half")
         opened = held.select(*id_columns, "text").join(half, "key")
         windows = self._flags(opened.mapInArrow(self._windows(buckets), SENT), True)

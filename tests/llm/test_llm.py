@@ -433,6 +433,29 @@ def test_substrings_of_repeated_and_large_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted(cut_rows([(i, x.encode()) for i, x in rows]), key=str)
 
 
+def test_full_grams_are_spread(spark, monkeypatch):
+    """Grams with many pointers, or halves of windows, go to buckets by their surroundings; results stay as they are."""
+    monkeypatch.setattr(substring_dedup, "COUNTED", 1)
+    monkeypatch.setattr(substring_dedup, "POINTERS_PER_BUCKET", 20)
+    spread, sizes = substring_dedup.SubstringDedup._spread, []
+
+    def counted(*args):
+        sizes.append(spread(*args).size)
+        return spread(*args)
+
+    monkeypatch.setattr(substring_dedup.SubstringDedup, "_spread", staticmethod(counted))
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase, passage = noise(44), noise(70)
+    rows = [(i, noise(rng.randint(0, 90)) + (passage if i % 9 == 0 else phrase) + noise(rng.randint(0, 90)) + (phrase if i % 7 == 0 else "")) for i in range(150)]
+    rows += [(1000 + i, rows[5 * i][1][rng.randint(0, 20) :] + noise(9)) for i in range(20)] + [(2000, phrase), (2001, ""), (-3, "é" + rows[4][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (docs, docs.repartition(7)):
+        got = {r[0]: tuple(r)[1:] for r in substring_dedup.SubstringDedup(50).digests(df).collect()}
+        assert got == cut([(i, t.encode()) for i, t in rows])
+    assert min(sizes) > 0
+
+
 def test_many_lines(spark):
     """Removal is linear in the lines of one text."""
     n = 60_000
