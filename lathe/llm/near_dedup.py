@@ -3,9 +3,12 @@
 1. Every document's set of word shingles is hashed with one function; the k least values are its
    sketch. Documents with equal sets (by a 128-bit digest) form a class, and one class counts once.
 2. Inverted lists of the `listed` least values bring together classes that share one. Two sets
-   of similarity s share none of the least r values with a probability of (1 - s)^r at most. A value
-   that more than `list_block` classes list is common to texts that have little else in common; its
-   classes are listed by pairs of it and another of their `paired` least values instead.
+   of similarity s share none of the least r values with a probability of (1 - s)^r at most. A list
+   above `list_block` classes is compared within blocks and with hubs; what this connects, such as a
+   family of near copies, is done. A few members outside the list's largest component are compared
+   with all. Many have little else in common: they are listed by pairs of the value and another of
+   their `paired` least values, and so are the other members, but only under pairs that one outside
+   has too.
 3. Within a list, union sketches estimate similarities: of the least values of both sketches
    together, the share that lies in both. Pairs whose estimate is too low to be a link (chance of a
    wrong rejection about one in 10^8) go. What remains joins classes into families.
@@ -201,6 +204,8 @@ def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 HUBS = 8
+#: Blocks of a list's members outside its largest component up to which they are compared with all.
+FEW = 4
 #: Keys that a broadcast may hold (about 60 bytes each); counted before.
 MAX_KEYS = 1_000_000
 
@@ -219,29 +224,32 @@ def _in_block(n: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
 
 
-def edges_of(entries: DataFrame, filled, key: str, block: int, test, scratch: Scratch, name: str) -> DataFrame:
-    """Edges that connect all that `test` connects among rows of one key.
-
-    entries: a table with key and blocks, the number into which the key's rows are cut.
-    filled: from some of them to (key, blocks, id, size, values).
-    """
-    rows = filled(entries)
+def hub_edges(entries: DataFrame, filled, key: str, block: int, test, scratch: Scratch, name: str) -> DataFrame:
+    """Edges within each block of the rows of one key, and between these and the key's hubs. Arguments as in edges_of."""
     n = F.col("blocks").cast("int")
     hub = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.lit(float(HUBS << 30)) / (n * block)
     at = F.when(n <= 1, F.array(F.lit(0))).when(hub, F.sequence(F.lit(0), n - 1)).otherwise(F.array(_in_block(n, 7)))
-    first = rows.select(key, F.explode(at).alias("lo"), "id", "size", "values")
-    first = scratch.save(_brought_together(first, test, key, "lo"), f"{name}-1")
-    long = entries.filter("blocks > 1")
-    if long.isEmpty():
-        return first
-    long = filled(long)
-    label = connected(first, scratch, f"{name}-in")
-    known = long.select(key, "blocks", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select(key, "blocks", "id", F.coalesce("component", "id").alias("component"))
+    rows = filled(entries).select(key, F.explode(at).alias("lo"), "id", "size", "values")
+    return scratch.save(_brought_together(rows, test, key, "lo"), f"{name}-1")
+
+
+def outside_of(long: DataFrame, edges: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
+    """(key, id, all, rest, outside) of the rows of each key that edges don't connect as a whole.
+
+    outside: of the key's largest component; rest: how many are, of all.
+    """
+    label = connected(edges, scratch, f"{name}-in")
+    known = long.select(key, "id").join(label.withColumnRenamed("node", "id"), "id", "left").select(key, "id", F.coalesce("component", "id").alias("component"))
     known = scratch.save(known.distinct(), f"{name}-known")
     largest = known.groupBy(key, "component").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("x"))
     largest = largest.select(key, "all", F.col("x.component").alias("main"), (F.col("all") - F.col("x.n")).alias("rest")).filter("rest > 0")
-    dealt = known.join(largest, key).select(key, "id", "all", "rest", (F.col("component") != F.col("main")).alias("outside"))
-    rows = long.join(dealt, [key, "id"])
+    return known.join(largest, key).select(key, "id", "all", "rest", (F.col("component") != F.col("main")).alias("outside"))
+
+
+def met_edges(long: DataFrame, outside: DataFrame, key: str, block: int, test, scratch: Scratch, name: str) -> DataFrame:
+    """Edges of those outside with all of their key, in pairs of blocks. long: (key, blocks, id, size, values)."""
+    rows = long.join(outside, [key, "id"])
+    n = F.col("blocks").cast("int")
     own = _in_block(n, 7)
     pairs = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda x: x != own), lambda x: F.struct(F.least(x, own).alias("lo"), F.greatest(x, own).alias("hi")))
     # few are outside: their blocks against all blocks
@@ -250,8 +258,21 @@ def edges_of(entries: DataFrame, filled, key: str, block: int, test, scratch: Sc
     mine = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(_in_block(r, 13).alias("lo"), x.alias("hi")))
     few = F.when(F.col("outside"), F.array_distinct(F.concat(met, mine))).otherwise(met)
     second = rows.select(key, F.inline(F.when(2 * F.col("rest") > F.col("all"), pairs).otherwise(few)), "id", "size", "values")
-    second = scratch.save(_brought_together(second, test, key, "lo", "hi"), f"{name}-2")
-    return first.unionByName(second)
+    return scratch.save(_brought_together(second, test, key, "lo", "hi"), f"{name}-2")
+
+
+def edges_of(entries: DataFrame, filled, key: str, block: int, test, scratch: Scratch, name: str) -> DataFrame:
+    """Edges that connect all that `test` connects among rows of one key.
+
+    entries: a table with key and blocks, the number into which the key's rows are cut.
+    filled: from some of them to (key, blocks, id, size, values).
+    """
+    first = hub_edges(entries, filled, key, block, test, scratch, name)
+    long = entries.filter("blocks > 1")
+    if long.isEmpty():
+        return first
+    long = filled(long)
+    return first.unionByName(met_edges(long, outside_of(long, first, key, scratch, name), key, block, test, scratch, name))
 
 
 class NearDedup:
@@ -312,26 +333,21 @@ class NearDedup:
 
         return run
 
-    def _pairs(self, common: DataFrame):
-        """Of sketches: each pair of a common value among the listed ones and another of the `paired` least, once."""
-        spark = common.sparkSession
-        shared = spark.sparkContext.broadcast(np.sort(np.array([r["value"] for r in common.collect()], np.int64)))
-        listed, paired = self.listed, self.paired
+    def _paired_with(self):
+        """Of (value, digest, outside, sketch): the pair of the value and each other of the `paired` least."""
+        paired = self.paired
 
         def run(batches):
-            common = shared.value
             for batch in batches:
                 found, count = [], []
-                for raw in batch.column(1).to_pylist():
+                for value, raw in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     v = np.frombuffer(raw, np.uint64)[:paired].view(np.int64)
-                    at = np.minimum(np.searchsorted(common, v[:listed]), common.size - 1)
-                    hot = v[:listed][common[at] == v[:listed]]
-                    a, b = (x.ravel() for x in np.meshgrid(hot, v, indexing="ij"))
-                    a, b = a[a != b], b[a != b]
-                    found.append(np.unique(np.minimum(a, b) * np.int64(_A) + np.maximum(a, b)))
-                    count.append(found[-1].size)
-                digests = batch.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), digests], ["value", "digest"])
+                    v = v[v != value]
+                    found.append(np.minimum(v, value) * np.int64(_A) + np.maximum(v, value))
+                    count.append(v.size)
+                row = pa.array(np.repeat(np.arange(len(count)), count))
+                values = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
+                yield pa.RecordBatch.from_arrays([values, batch.column(1).take(row), batch.column(2).take(row)], ["value", "digest", "outside"])
 
         return run
 
@@ -352,22 +368,21 @@ class NearDedup:
         """(value, digest, blocks) for all lists of two classes and more. sketched: (digest, and column: their least values)."""
         listed = sketched.select("digest", column).mapInArrow(self._least(2**31 if self.exact else self.listed), "value long, digest binary")
         lengths = scratch.save(listed.groupBy("value").agg(F.count("*").alias("length")).filter("length > 1"), "lengths")
-        blocks = F.ceil(F.col("length") / F.lit(self.list_block)).alias("blocks")
-        common = lengths.filter(F.col("length") > self.list_block).select("value")
-        if self.exact or common.isEmpty():
-            return scratch.save(listed.join(lengths, "value").select("value", "digest", blocks), "entries")
-        short = listed.join(lengths.filter(F.col("length") <= self.list_block), "value").select("value", "digest", blocks)
-        # classes under a common value, by the pairs of it and their other values
-        if common.count() <= MAX_KEYS:
-            pair = sketched.select("digest", column).mapInArrow(self._pairs(common), "value long, digest binary")
-        else:
-            has = scratch.save(listed.join(common, "value"), "common")
-            more = sketched.select("digest", column).mapInArrow(self._least(self.paired), "value long, digest binary")
-            pair = has.join(more.select("digest", F.col("value").alias("other")), "digest").filter("value <> other")
-            pair = pair.select(F.xxhash64(F.least("value", "other"), F.greatest("value", "other")).alias("value"), "digest").distinct()
-        pair = scratch.save(pair, "pairs")
-        lengths = pair.groupBy("value").agg(F.count("*").alias("length")).filter("length > 1")
-        return scratch.save(short.unionByName(pair.join(lengths, "value").select("value", "digest", blocks)), "entries")
+        return scratch.save(listed.join(lengths, "value").select("value", "digest", self._blocks()), "entries")
+
+    def _blocks(self) -> Column:
+        return F.ceil(F.col("length") / F.lit(self.list_block)).alias("blocks")
+
+    def _pairs(self, outside: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+        """Entries by pairs of values, of all that are outside in long lists and of those that may be linked with them.
+
+        Of two linked classes that no edge connects yet, one at least is outside in each list that both are in.
+        """
+        has = outside.join(classes.select("digest", "id", "sketch"), "id").select("value", "digest", "outside", "sketch")
+        pair = has.mapInArrow(self._paired_with(), "value long, digest binary, outside boolean")
+        pair = scratch.save(pair.groupBy("value", "digest").agg(F.max("outside").alias("outside")), "pairs")
+        lengths = pair.groupBy("value").agg(F.count("*").alias("length"), F.max("outside").alias("any")).filter("length > 1 and any")
+        return scratch.save(pair.join(lengths.drop("any"), "value").select("value", "digest", self._blocks()), "paired")
 
     def components(self, docs: DataFrame) -> DataFrame:
         """Per row of docs: id, n_shingles, component_id, kept."""
@@ -404,12 +419,21 @@ class NearDedup:
     def _links(self, rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
         entries = self._lists(classes, "sketch", scratch)
         sketches = classes.select("digest", "id", F.col("n").alias("size"), F.col("sketch").alias("values"))
+        test = _groups(_estimated, self.k, self.num, self.den)
 
         def filled(e: DataFrame) -> DataFrame:
             # of long lists alone, few sketches are needed, and only these are shuffled
             return e.join(sketches if e is entries else _only(sketches, e.select("digest").distinct()), "digest").drop("digest")
 
-        likely = edges_of(entries, filled, "value", self.list_block, _groups(_estimated, self.k, self.num, self.den), scratch, "likely")
+        likely = hub_edges(entries, filled, "value", self.list_block, test, scratch, "likely")
+        long = entries.filter("blocks > 1")
+        if not long.isEmpty():
+            outside = scratch.save(outside_of(long.join(classes.select("digest", "id"), "digest"), likely, "value", scratch, "likely"), "outside")
+            few, many = (outside.filter(F.col("rest") <= FEW * self.list_block), outside.filter(F.col("rest") > FEW * self.list_block))
+            if not few.isEmpty():
+                likely = likely.unionByName(met_edges(filled(long), few, "value", self.list_block, test, scratch, "likely"))
+            if not many.isEmpty():
+                likely = likely.unionByName(edges_of(self._pairs(many, classes, scratch), filled, "value", self.list_block, test, scratch, "paired-of"))
         families = connected(likely, scratch, "families")
 
         # whole sets, once for each class of a family; blocks are bounded by members and by shingles

@@ -345,6 +345,27 @@ def test_a_family_costs_in_proportion(spark):
     assert sum(dealt) < 2 * 1200
 
 
+def test_a_long_list_of_near_copies_makes_no_pairs(spark, monkeypatch):
+    """Classes that are dealt out for a group of near copies: each once for a value it lists, and to a few hubs; and no link is lost."""
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(500):
+        w = base[:]
+        for _ in range(3):
+            w[rng.randrange(90)] = f"v{rng.randint(0, 9999)}"
+        rows.append((i, " ".join(w)))
+    rows += [(500 + i, " ".join([*(f"x{i}-{j}" for j in range(20)), *base[:60]])) for i in range(4)]
+    rows += [(600 + i, rows[500 + i][1] + " more") for i in range(4)]
+    dealt = []
+    real = near_dedup._brought_together
+    monkeypatch.setattr(near_dedup, "_brought_together", lambda rows, test, *key: (dealt.append(rows.count() * (key[0] == "value")), real(rows, test, *key))[1])
+    op = near_dedup.NearDedup(3, 80, 100, list_block=64, block=64)
+    got = {r[0]: tuple(r)[1:] for r in op.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked(rows, 3, 80, 100)
+    assert sum(dealt) < 2 * op.listed * len(rows)
+
+
 def test_components_of_long_chains(spark):
     """A low label at one end must take over a long chain that another low label holds already."""
     n = 300
