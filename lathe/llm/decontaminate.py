@@ -3,8 +3,9 @@
 1. Documents are coded by the words of the benchmark, once, into a table of small integers; other
    words are all 0. Document frequencies come from the codes of all documents.
 2. Passages are overlapping word windows, as TF-IDF vectors over the benchmark's rarer words. A
-   randomised SVD of the passages of a bounded sample of documents, with the benchmark's own items,
-   gives the latent space: two distributed products with the passage matrix, then a small eigenproblem.
+   randomised SVD of the passages of all documents (end to end, not overlapping), with the benchmark's
+   own items, gives the latent space: two distributed products with the passage matrix, then a small
+   eigenproblem. A large corpus is weighed down as a whole, so that the items still count beside it.
 3. Every passage of every document that holds enough of those words is projected; items whose
    cosine reaches `cosine` are candidates.
 4. For a candidate, the longest common subsequence of words with the item, over the item's length,
@@ -29,13 +30,15 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, table
 
-#: Bounds: documents whose passages the latent space is fitted on; items in one block of the search;
-#: words of items in one latent space.
-MAX_FITTED = 5_000
+#: Documents that a larger corpus weighs as many as, beside the items, in the fit of the latent space.
+FITTED_WEIGHT = 5_000
+#: Bounds: items in one block of the search; words of items in one latent space.
 MAX_ITEMS = 2_000
 PART_WORDS = 250_000
 RANK, OVERSAMPLING = 96, 16
 CACHE_ENTRIES = 400_000
+#: Codes in one row of a product.
+PRODUCT_CODES = 1_024
 
 
 def words(raw: bytes | None) -> list[bytes]:
@@ -93,7 +96,7 @@ class Retrieval:
         """(start of each passage with enough weighted words, passage index, code) of one document."""
         hits = np.flatnonzero(self.weight[codes] > 0)
         if hits.size < self.least:
-            return np.zeros(0, np.int64), hits, hits
+            return np.zeros(0, np.int64), hits[:0], hits[:0]
         starts = np.arange(0, max(1, codes.size - self.window + step), step)
         lo, hi = np.searchsorted(hits, starts), np.searchsorted(hits, starts + self.window)
         good = hi - lo >= self.least
@@ -209,7 +212,7 @@ class Decontaminator:
 
     @staticmethod
     def _product(space: Retrieval, q: np.ndarray):
-        """Of each task's passages A: the sum of A' (A q). Passages don't overlap here."""
+        """Of each task's passages A: A' (A q), by blocks of codes. Passages don't overlap here."""
 
         def run(batches):
             out = np.zeros(q.shape, np.float32)
@@ -230,23 +233,42 @@ class Decontaminator:
                         order = np.argsort(c, kind="stable")
                         first = np.flatnonzero(np.append(True, np.diff(c[order]) != 0))
                         out[c[order][first]] += np.add.reduceat(back[order], first)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["product"])
+            for at in range(0, len(out), PRODUCT_CODES):
+                block = out[at : at + PRODUCT_CODES]
+                if block.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["at", "product"])
 
         return run
 
-    def _fit(self, sample: DataFrame, space: Retrieval) -> None:
-        """Randomised SVD with one power step; products come back as one matrix for each of a few tasks."""
+    @staticmethod
+    def _added(batches):
+        """The sum of all products of each block of codes."""
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(raw, np.float32)
+                total[at] = total[at] + part if at in total else part.astype(np.float64)
+        for at, block in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["at", "product"])
+
+    def _corpus_product(self, coded: DataFrame, space: Retrieval, q: np.ndarray) -> np.ndarray:
+        """A' (A q) of the passages A of all documents; one row for each block of codes comes to the driver."""
+        parts = coded.select("codes").mapInArrow(self._product(space, q), "at int, product binary")
+        y = np.zeros(q.shape)
+        for r in parts.repartition("at").mapInArrow(self._added, "at int, product binary").toLocalIterator():
+            block = np.frombuffer(r["product"]).reshape(-1, q.shape[1])
+            y[r["at"] : r["at"] + len(block)] = block
+        return y
+
+    def _fit(self, coded: DataFrame, space: Retrieval, n: int) -> None:
+        """Randomised SVD with one power step over the passages of n documents and the items."""
         k = min(RANK + OVERSAMPLING, space.weight.size)
         q = np.random.default_rng(7).standard_normal((space.weight.size, k)).astype(np.float32)
         for _ in range(2):
-            # the sample is a table of its own, so that few tasks read little
-            parts = sample.coalesce(8).mapInArrow(self._product(space, q), "product binary").collect()
-            y = np.zeros(q.shape, np.float32)
+            y = self._corpus_product(coded, space, q) * min(1.0, FITTED_WEIGHT / n)
             for at in range(0, len(space.items.words), self.block):
                 items = space.item_matrix(at, at + self.block)
                 y += items.T @ (items @ q)
-            for r in parts:
-                y = y + np.frombuffer(r["product"], np.float32).reshape(y.shape)
             before, (q, _) = q, np.linalg.qr(y.astype(np.float64))
             small = before.T.astype(np.float64) @ y
             q = q.astype(np.float32)
@@ -298,8 +320,7 @@ class Decontaminator:
         weight[items.n_weighed + 1 :] = 0
         space = Retrieval(items, weight.astype(np.float32), self.window, self.step)
         if items.ids and n:
-            share = int(1_000_000 * min(1.0, MAX_FITTED / n))
-            self._fit(scratch.save(coded.filter(F.pmod(F.xxhash64("id", "t"), F.lit(1_000_000)) < share).select("codes"), f"fitted-{b}"), space)
+            self._fit(coded, space, n)
             space.prepare(self.block)
         shared = spark.sparkContext.broadcast(space)
         limits = (self.cosine, self.copied, self.paraphrased)

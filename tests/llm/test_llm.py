@@ -635,6 +635,33 @@ def test_paraphrases_are_found(spark):
     assert len(sought) > 20 and sum(want[j] in got[j] for j in sought) >= 0.95 * len(sought)
 
 
+def test_the_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
+    """Above 5,000 documents, too, every one is in the fit, and the product over tasks and blocks of codes is that of all passages."""
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 399)}" for _ in range(rng.randint(3, 90)))) for i in range(5400)], "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(20 * i, 20 * i + 20))) for i in range(15)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "PRODUCT_CODES", 64, raising=False)
+    seen, real = [], decontaminate.Decontaminator._fit
+
+    def fit(self, coded, space, *more):
+        seen.append((self, coded, space))
+        return real(self, coded, space, *more)
+
+    monkeypatch.setattr(decontaminate.Decontaminator, "_fit", fit)
+    decontaminate.Decontaminator(max_df=1.0).leaks(docs, bench)
+    ((op, coded, space),) = seen
+    assert coded.count() == 5400
+    want, q = np.zeros((space.weight.size, 6)), np.random.default_rng(1).standard_normal((space.weight.size, 6)).astype(np.float32)
+    for r in coded.select("codes").collect():
+        codes = np.frombuffer(r.codes, np.int32)
+        for at in range(0, codes.size, op.window):
+            count = np.bincount(codes[at : at + op.window], minlength=space.weight.size)
+            if count[space.weight > 0].sum() >= space.least:
+                x = count * space.weight
+                want += np.outer(x, x @ q) / (x @ x)
+    assert np.allclose(op._corpus_product(coded, space, q), want, rtol=1e-3, atol=1e-3)
+
+
 def plain_article(page):
     """The article of the given pages, whose markup is regular: an independent extraction."""
     inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
