@@ -1,6 +1,6 @@
 """Mixing a corpus to target weights with soft domain membership.
 
-1. A multinomial naive Bayes model over all words of a bounded labelled sample gives each document its
+1. A multinomial naive Bayes model over all words of all labelled documents gives each document its
    posterior over domains. Words are counted by hash bucket, so that the model has a fixed number of
    rows whatever the vocabulary; a document's words meet it in a join and are summed by document. One
    exponent for all documents, chosen by log loss on labelled documents held out of a first fit,
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, table
 
-#: Bound of labelled rows in the sample. A model of three in four is tempered on the others; then all are fitted on.
-MAX_LABELLED = 20_000
+#: Labels that are sent to every task (about 60 bytes each); more are joined by a shuffle.
+MAX_SENT = 200_000
 #: Rows of the model: hash buckets of words.
 BUCKETS = 1 << 16
 #: Exponents of the evidence that are tried, and the one that is used if no labelled row is left to try them on.
@@ -60,20 +60,17 @@ class Model:
         return F.array(*(F.col(f"s{i}") * e + F.lit(float(p)) for i, p in enumerate(self.prior)))
 
 
-def labelled_sample(docs: DataFrame, labelled: DataFrame, domains: list[str], most: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, domain) of about `most` labelled rows, chosen by a hash of the id; the least domain of an id counts."""
+def labelled_rows(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(id, text, domain) of all labelled rows; the least domain of an id counts."""
     labelled = labelled.select(F.col(id_col).alias("id"), "domain").dropna().filter(F.col("domain").isin(domains))
     labelled = labelled.groupBy("id").agg(F.min("domain").alias("domain"))
-    n = labelled.count()
-    if n > most:
-        labelled = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    # the labelled side is bounded by `most`, so it may be broadcast whatever the size of docs
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(labelled), "id")
+    few = labelled.count() <= MAX_SENT
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(labelled) if few else labelled.hint("merge"), "id")
 
 
-def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], scratch: Scratch, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The tempered model. labelled: (id_col, domain)."""
-    rows = scratch.save(labelled_sample(docs, labelled, domains, most, id_col, text_col), "labelled")
+def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of all labelled rows, tempered by one of three in four on the others. labelled: (id_col, domain)."""
+    rows = scratch.save(labelled_rows(docs, labelled, domains, id_col, text_col), "labelled")
     tried = F.pmod(F.xxhash64(F.lit("tried"), "id"), F.lit(4)) == 0
     counts = rows.select("domain", tried.alias("tried"), F.explode(words_of(F.col("text"))).alias("word")).groupBy(bucket_of(F.col("word")).alias("bucket")).agg(
         *(F.count(F.when((F.col("domain") == d) & ~F.col("tried"), 1)).alias(f"c{i}") for i, d in enumerate(domains)),

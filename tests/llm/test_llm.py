@@ -248,6 +248,29 @@ def test_many_sites_are_joined_without_a_broadcast(spark, monkeypatch, odd):
     assert run() == want and len(want) == len(rows) + 5
 
 
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_all_labels_are_in_the_document_model(spark, monkeypatch, sent):
+    """Above 20,000 labels, too, q_doc is that of a plain ridge regression on every one, however the labels are joined."""
+    monkeypatch.setattr(quality_classifier, "MAX_SENT", sent, raising=False)
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(20_400):
+        y = rng.random() < 0.6
+        rows.append((i, " ".join(rng.choice(("alpha", "Beta.", "of", "#x#")[: 3 if y and rng.random() < 0.7 else 4]) for _ in range(8)), "h"))
+        labels.append((i, int(y), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string").repartition(5)
+    out = quality_classifier.score_quality(docs, spark.createDataFrame(labels, LABELS), F.col("host"), F.lit(None))
+    got = dict(out.select("row.doc_id", "q_doc").collect())
+    x, y = np.array([quality_classifier.features(t.encode()) for _, t, _ in rows]), np.array([float(k) for _, k, _ in labels])
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)
+    z = np.hstack([np.ones((len(z), 1)), z, np.minimum(z * z, 16)])
+    ridge, w = np.append(0.0, np.ones(z.shape[1] - 1)), np.zeros(z.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-z @ w))
+        w += np.linalg.solve((z.T * (p * (1 - p) + 1e-6)) @ z + np.diag(ridge + 1e-9), z.T @ (y - p) - ridge * w)
+    assert np.allclose([got[i] for i, _, _ in rows], 1 / (1 + np.exp(-np.clip(z @ w, -12, 12))), atol=1e-6)
+
+
 def test_null_names_are_sites_of_their_own(spark):
     names = spark.createDataFrame([(None, "x"), ("", "x"), ("a", None), ("a", ""), ("a/b", "c"), ("a", "b/c")], "a string, b string")
     assert names.select(quality_classifier.site_key(F.col("a"), F.col("b")).alias("k")).distinct().count() == 6
@@ -537,6 +560,20 @@ def test_mixing_of_repeated_rows(spark):
     assert twice == sorted(once + once) and [x[2] for x in once] == [1, 3, 0]
 
 
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_all_labels_are_in_the_mixing_model(spark, monkeypatch, sent):
+    """Above 20,000 labels, too, the words of every labelled document are counted, however the labels are joined."""
+    monkeypatch.setattr(mixing, "MAX_SENT", sent, raising=False)
+    docs = spark.range(20_400).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, 'red green blue', 'red')").alias("text"))
+    labelled = docs.select("doc_id", F.expr("if(doc_id % 3 = 0, 'a', 'b')").alias("domain"))
+    model = mixing.fit(docs, labelled, ["a", "b"], Scratch(spark, "t"))
+    size = np.array([3 * 6800, 13600])
+    assert np.allclose(model.prior, np.log((size + 1) / (size + 1).sum()), atol=1e-12)
+    w = [r.w for r in model.words.filter(mixing.bucket_of(F.lit("red")) == F.col("bucket")).collect()]
+    say = np.log((np.array([6800, 13600]) + 0.1) / (size + 0.1 * mixing.BUCKETS))
+    assert np.allclose(w, [say - say.mean()], atol=1e-12)
+
+
 def test_op1(spark):
     rows = registry.QUERIES["op1_source_mixing"](spark, SF).collect()
     assert len(rows) == 200 and all(r.rate >= 0 and abs(sum(r[f"p_{d}"] for d in mixing.TARGETS) - 1) < 1e-9 for r in rows)
