@@ -134,9 +134,11 @@ def _estimated(ids: list[int], sets: list[np.ndarray], sizes: list[int], k: int,
     least = least_share(k, num / den)
     kept = np.array([s.size for s in sets])
     size = np.array(sizes)
-    low = np.minimum.outer(size, size) * den >= num * np.maximum.outer(size, size)
-    near = low & (both >= np.floor(least * np.minimum.outer(kept, kept)))
-    near &= both > 0
+    near = both > 0
+    for at in range(0, n, 128):  # a few rows at a time, as whole matrices of integers would take most of a worker's memory
+        rows = slice(at, at + 128)
+        near[rows] &= np.minimum.outer(size[rows], size) * den >= num * np.maximum.outer(size[rows], size)
+        near[rows] &= both[rows] >= np.floor(least * np.minimum.outer(kept[rows], kept))
     if not near.any():
         return near
     whole = size <= kept  # the sketch is the full set
@@ -145,9 +147,9 @@ def _estimated(ids: list[int], sets: list[np.ndarray], sizes: list[int], k: int,
     padded = np.full((n, k), np.uint64(2**64 - 1))
     for i, s in enumerate(sets):
         padded[i, : s.size] = s
-    i, j = np.nonzero(np.triu(near))
-    for at in range(0, i.size, 50_000):
-        a, b = i[at : at + 50_000], j[at : at + 50_000]
+    i, j = (x.astype(np.int32) for x in np.nonzero(np.triu(near)))
+    for at in range(0, i.size, 10_000):
+        a, b = i[at : at + 10_000], j[at : at + 10_000]
         top = np.minimum(limit[a], limit[b])[:, None]
         inside = [np.minimum((padded[x] <= top).sum(axis=1), kept[x]) for x in (a, b)]
         union = inside[0] + inside[1] - both[a, b]
