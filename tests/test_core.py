@@ -320,3 +320,19 @@ def test_oracle(spark, name):
     columns = sorted(df.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLES[name]})").fetchall()
     assert plain(df.select(*columns).collect()) == plain(want)
+
+
+def test_sparse_products_hold_little(spark):
+    """A batch's entries are added up some at a time: not 100,000 x 200 numbers at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    row, code, w = np.repeat(np.arange(100), 1000), rng.integers(0, 50, 100_000), rng.random(100_000)
+    m = rng.standard_normal((50, 200))
+    tracemalloc.start()
+    got = vectors._sums(row, code, w, m, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.zeros((100, 50))
+    np.add.at(want, (row, code), w)
+    assert np.allclose(got, want @ m) and peak < 40 << 20
