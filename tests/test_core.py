@@ -336,3 +336,22 @@ def test_sparse_products_hold_little(spark):
     want = np.zeros((100, 50))
     np.add.at(want, (row, code), w)
     assert np.allclose(got, want @ m) and peak < 40 << 20
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_neighbours_of_many_parts(spark, monkeypatch, metric):
+    """Sides of several parts and blocks; copies are at distance 0, however long their vectors are; rows that aren't numbers have no neighbours."""
+    x = np.random.default_rng(13).standard_normal((400, 6)) + 100
+    x[200:260] = x[:60]
+    x[399] = np.nan
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, v array<double>").repartition(5)
+    monkeypatch.setattr(vectors, "BLOCK", 30)
+    monkeypatch.setattr(vectors, "SIDE", 6 * 8 * 90)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T if metric == "cosine" else np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    want = {i: sorted((d[i, j].round(9), j) for j in range(399) if j != i)[:5] for i in range(399)}
+    got = {}
+    for r in vectors.knn(points, 5, metric).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append((round(r.dist, 9), r.dst))
+    assert set(got) == set(want) and all(np.allclose([a for a, _ in got[i]], [a for a, _ in want[i]], atol=1e-9) for i in want)
+    assert all(got[i][0] == (0, i + 200) and got[i + 200][0] == (0, i) for i in range(60))
