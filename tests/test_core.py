@@ -355,3 +355,31 @@ def test_neighbours_of_many_parts(spark, monkeypatch, metric):
         got.setdefault(r.src, []).append((round(r.dist, 9), r.dst))
     assert set(got) == set(want) and all(np.allclose([a for a, _ in got[i]], [a for a, _ in want[i]], atol=1e-9) for i in want)
     assert all(got[i][0] == (0, i + 200) and got[i + 200][0] == (0, i) for i in range(60))
+
+
+def test_spectral_sends_rows_not_sums(spark, monkeypatch):
+    """Products of a graph come back by rows; what is sent doesn't grow with the number of tasks."""
+    monkeypatch.setattr(vectors.Sparse, "square", lambda *a: pytest.fail("a sum over all rows from every task"))
+    pairs = [(a + 8 * g, b + 8 * g) for g in range(3) for a in range(8) for b in range(8) if a != b] + [(0, 8), (8, 0), (8, 16), (16, 8)]
+    edges = spark.createDataFrame([(*p, 1.0) for p in pairs], "src long, dst long, w double").repartition(6)
+    v = np.array([r.v for r in vectors.spectral(edges, 3).orderBy("row_id").collect()])
+    a = np.zeros((24, 24))
+    a[tuple(np.array(pairs).T)] = 1
+    deg = a.sum(1)
+    value, vector = np.linalg.eigh(a / np.sqrt(deg[:, None] * deg))
+    want = vector[:, -3:] * value[-3:]
+    assert v.shape == (24, 3) and np.allclose(v @ v.T, want @ want.T, atol=1e-6)
+
+
+@pytest.mark.parametrize("name", ["l2_normalise", "smooth_mean"])
+def test_small_negative_numbers_keep_their_sign(spark, tmp_path, name):
+    """SQL rounds what is just below 0 to -0, and so do the queries."""
+    rng = np.random.default_rng(14)
+    rows = [(i, [float(x) for x in rng.standard_normal(4).astype(np.float32)] + [-1e-9, 1e-9], 0) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    assert sorted(map(str, plain(df.collect()))) == sorted(map(str, plain(want)))
+    assert any("-0.0," in str(r) or "-0.0)" in str(r) for r in plain(df.collect()))
