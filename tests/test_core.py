@@ -383,3 +383,25 @@ def test_small_negative_numbers_keep_their_sign(spark, tmp_path, name):
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
     assert sorted(map(str, plain(df.collect()))) == sorted(map(str, plain(want)))
     assert any("-0.0," in str(r) or "-0.0)" in str(r) for r in plain(df.collect()))
+
+
+def test_many_terms_of_fewer_rows_are_turned(spark, monkeypatch):
+    """Where only the rows' side fits, the products go by it, in slabs; terms meet no dense vectors."""
+    monkeypatch.setattr(vectors, "_wide_svd", lambda *a: pytest.fail("joins of dense vectors"))
+    rng = np.random.default_rng(15)
+    a = np.where(rng.random((12, 3)) < 0.9, rng.random((12, 3)), 0) @ rng.standard_normal((3, 60))
+    rows = spark.createDataFrame([(i * 7, f"t{j}", float(a[i, j])) for i in range(12) for j in range(60)], "row_id long, term string, w double").filter("w <> 0")
+    monkeypatch.setattr(vectors, "DENSE_BYTES", 60 * 3 * 8 // 2)
+    got = {r.row_id: r.v for r in vectors.truncated_svd(rows, 3).collect()}
+    v = np.array([got.get(i * 7, [0.0] * 3) for i in range(12)])
+    assert np.allclose(v @ v.T, a @ a.T, atol=1e-6)
+
+
+def test_svd_by_joins(spark, monkeypatch):
+    """Where neither side fits."""
+    for name in ("DENSE_BYTES", "SLABS_BYTES"):
+        monkeypatch.setattr(vectors, name, 0)
+    a = np.random.default_rng(16).standard_normal((12, 2)) @ np.random.default_rng(17).standard_normal((2, 9))
+    rows = spark.createDataFrame([(i, f"t{j}", float(a[i, j])) for i in range(12) for j in range(9)], "row_id long, term string, w double")
+    v = np.array([r.v for r in vectors.truncated_svd(rows, 2).orderBy("row_id").collect()])
+    assert np.allclose(v @ v.T, a @ a.T, atol=1e-6)
