@@ -405,3 +405,33 @@ def test_svd_by_joins(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"t{j}", float(a[i, j])) for i in range(12) for j in range(9)], "row_id long, term string, w double")
     v = np.array([r.v for r in vectors.truncated_svd(rows, 2).orderBy("row_id").collect()])
     assert np.allclose(v @ v.T, a @ a.T, atol=1e-6)
+
+
+def test_packed_pairs_equal_plain_ones(spark, monkeypatch):
+    """Pairs of many tasks and buckets, of words that don't fit one byte each, and their PPMI; no join or aggregation meets rows of pairs."""
+    from collections import Counter
+
+    from lathe.operators import pairs
+
+    monkeypatch.setattr(pairs, "WORDS", 50)
+    monkeypatch.setattr(pairs, "PAIRS", 40)
+    monkeypatch.setattr(pairs, "ROWS", 7)
+    rng = np.random.default_rng(18)
+    texts = [" ".join(["a", "b", "é", "日本", "zz", "q"][min(5, int(x))] for x in rng.exponential(1.5, n)) for n in rng.integers(0, 30, 60)]
+    batch = spark.createDataFrame([*enumerate(texts), (99, None)], "row_id long, text string").repartition(3)
+    want = Counter()
+    for t in texts:
+        w = t.split(" ")
+        for i in range(len(w)):
+            for x in w[i + 1 : i + 5]:
+                want[w[i], x] += 1
+                want[x, w[i]] += 1
+    words = F.split("text", " ")
+    df = terms.window_cooccurrence(batch, words, 4)
+    rows = df.collect()
+    assert {(r.t1, r.t2): r.n for r in rows} == want and len(rows) == len(want)
+    assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    plain_w = {(r.t1, r.t2): round(r.w, 9) for r in terms.ppmi(df).collect()}
+    got = terms.window_ppmi(batch, words, 4).collect()
+    assert {(r.t1, r.t2): round(r.w, 9) for r in got} == plain_w and len(got) == len(plain_w)
+    assert terms.window_cooccurrence(batch.filter("row_id = 99"), words, 4).count() == terms.window_ppmi(batch.filter("false"), words, 4).count() == 0
