@@ -435,3 +435,11 @@ def test_packed_pairs_equal_plain_ones(spark, monkeypatch):
     got = terms.window_ppmi(batch, words, 4).collect()
     assert {(r.t1, r.t2): round(r.w, 9) for r in got} == plain_w and len(got) == len(plain_w)
     assert terms.window_cooccurrence(batch.filter("row_id = 99"), words, 4).count() == terms.window_ppmi(batch.filter("false"), words, 4).count() == 0
+
+
+def test_counts_shuffle_texts_not_terms(spark):
+    """Rows of one id count together, wherever they are; terms aren't dealt out once more."""
+    batch = spark.createDataFrame([(1, "a b a"), (2, "b"), (1, "a c")], "row_id long, text string").repartition(3)
+    df = terms.term_counts(batch, F.split("text", " "))
+    assert {(r.row_id, r.term, r.n) for r in df.collect()} == {(1, "a", 3), (1, "b", 1), (1, "c", 1), (2, "b", 1)}
+    assert not [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x and "term" in x]
